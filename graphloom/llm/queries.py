@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, simhash
+from . import mixing, packing, rules, sharding, simhash, sitebayes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,18 @@ def op4_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = rules.quality_model(docs, table(spark, sf_dir, "labels"))
+    judged = rules.judge(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sitebayes.site_quality(docs, rules.quality_model(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"))
     law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
@@ -35,5 +47,5 @@ def op8_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pack_windows, op3_mix_sources, op4_simhash_links, op8_shard_documents)
+    f.__name__: f for f in (op2_pack_windows, op3_mix_sources, op4_simhash_links, op6_quality_rules, op7_site_quality, op8_shard_documents)
 }
