@@ -35,4 +35,18 @@ SELECT doc_id, size, source_size, target,
 FROM q
 """
 
-ORACLES: dict[str, str] = {"op3_mix_sources": MIX}
+WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM newest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM newest THEN newest END AS refers_to
+FROM m
+"""
+
+ORACLES: dict[str, str] = {"op3_mix_sources": MIX, "op5_warc_roundtrip": WARC}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, rules, sharding, simhash, sitebayes
+from . import mixing, packing, rules, sharding, simhash, sitebayes, tokencount, warc
+from .storage import new_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,12 @@ def op4_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_dir(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = rules.quality_model(docs, table(spark, sf_dir, "labels"))
@@ -46,6 +53,10 @@ def op8_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), new_dir(spark, "flat-tokens"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pack_windows, op3_mix_sources, op4_simhash_links, op6_quality_rules, op7_site_quality, op8_shard_documents)
+    f.__name__: f for f in (op2_pack_windows, op3_mix_sources, op4_simhash_links, op5_warc_roundtrip, op6_quality_rules, op7_site_quality, op8_shard_documents, op9_token_counts)
 }
