@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, rules, sharding, simhash, sitebayes, tokencount, warc
+from . import htmltext, mixing, packing, rules, sharding, simhash, sitebayes, tokencount, warc
 from .storage import new_dir
 
 
@@ -57,6 +57,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), new_dir(spark, "flat-tokens"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pack_windows, op3_mix_sources, op4_simhash_links, op5_warc_roundtrip, op6_quality_rules, op7_site_quality, op8_shard_documents, op9_token_counts)
+    f.__name__: f for f in (op2_pack_windows, op3_mix_sources, op4_simhash_links, op5_warc_roundtrip, op6_quality_rules, op7_site_quality, op8_shard_documents, op9_token_counts, op10_main_text)
 }
