@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, mixing, packing, rules, sharding, simhash, sitebayes, tokencount, warc
+from . import htmltext, mediacopies, mixing, packing, renders, rules, sharding, simhash, sitebayes, tokencount, warc
 from .storage import new_dir
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = renders.media_from_vectors(table(spark, sf_dir, "embeddings"))
+    return mediacopies.copy_classes(media)
+
+
 def op2_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.packed_documents(table(spark, sf_dir, "documents"), digest=True)
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -62,5 +67,5 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pack_windows, op3_mix_sources, op4_simhash_links, op5_warc_roundtrip, op6_quality_rules, op7_site_quality, op8_shard_documents, op9_token_counts, op10_main_text)
+    f.__name__: f for f in (op1_media_copies, op2_pack_windows, op3_mix_sources, op4_simhash_links, op5_warc_roundtrip, op6_quality_rules, op7_site_quality, op8_shard_documents, op9_token_counts, op10_main_text)
 }
