@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import star_roots
+from graphloom.operators.components import star_roots
 from .images import consensus, decode, descriptors
 from .storage import saved
 

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import star_roots
+from graphloom.operators.components import star_roots
+
 from .hammingtrie import ROOT_DEPTH, SEGMENT_BITS, SEGMENTS, forest
 from .storage import free_name, saved
 

@@ -1,55 +1,12 @@
-"""Tables kept for the length of a session in the folder that all executors share."""
+"""Kept tables, and names that don't clash."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from graphloom.sources.shared import new_dir, saved, shared_dir
 
-LOCAL_DIR = "/tmp/checkpoints/graphloom"
-_kept: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where a local master leaves it unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return LOCAL_DIR
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _kept:
-        atexit.register(_clean)
-    _kept.append(path)
-    return path
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet and read again, so that later steps neither repeat nor lose it."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _clean() -> None:
-    spark = SparkSession.getActiveSession()
-    for path in _kept if spark else ():
-        try:
-            remove(spark, path)
-        except Exception:  # the gateway may be gone at exit
-            return
-    _kept.clear()
+__all__ = ["free_name", "new_dir", "saved", "shared_dir"]
 
 
 def free_name(df: DataFrame, name: str) -> str:

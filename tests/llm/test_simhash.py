@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from graphloom.llm import simhash
-from graphloom.llm.components import star_roots
+from graphloom.operators.components import star_roots
 from graphloom.llm.hammingtrie import forest, merge, prefix_budgets
 
 
