@@ -19,6 +19,7 @@ SPLIT_BYTES = 8 << 20
 HEAD_BYTES = 64 << 10
 READ_BYTES = 1 << 20
 LEVEL = 6
+CHAIN = 4
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 RESPONSE_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -93,11 +94,11 @@ def members_in(uri: str, start: int, stop: int, length: int) -> Iterator[tuple[i
     """Offsets and contents of the WARC members of a file that start in ``[start, stop)``.
 
     Candidates are the gzip magic numbers in the range.  A candidate counts
-    when its first bytes inflate to a WARC version line, it inflates to its
-    end with the right checksum, and the end of the file or another such
-    member follows; compressed bytes that look like magic, and archives stored
-    inside a payload, fail that.  Members that follow a valid one are read on
-    from its end, not searched for.
+    when its first bytes inflate to a WARC version line, and it and the
+    ``CHAIN`` - 1 members after it (fewer at the end of the file) inflate to
+    their ends with the right checksums; compressed bytes that look like magic
+    fail that, and so do up to that many records stored openly in a payload.
+    Members that follow a valid one are read on from its end, not searched for.
     """
     with opened(uri) as file:
         at, trusted = start, start == 0
@@ -106,8 +107,11 @@ def members_in(uri: str, start: int, stop: int, length: int) -> Iterator[tuple[i
                 at = _find_magic(file, at, stop, length)
                 if at < 0:
                     return
+                if not _chained(file, at, length):
+                    at += 1
+                    continue
             found = _inflate(file, at, length)
-            if found is None or not (found[1] == length or _head_is_warc(file, found[1], length)):
+            if found is None:
                 at, trusted = at + 1, False
                 continue
             data, end = found
@@ -116,6 +120,17 @@ def members_in(uri: str, start: int, stop: int, length: int) -> Iterator[tuple[i
             at, trusted = end, True
 
 
+def _chained(file, at: int, length: int) -> bool:
+    for _ in range(CHAIN):
+        if at == length:
+            return True
+        found = _inflate(file, at, length) if _head_is_warc(file, at, length) else None
+        if found is None:
+            return False
+        at = found[1]
+    return True
+
+
 def _find_magic(file, at: int, stop: int, length: int) -> int:
     while at < stop:
         file.seek(at)
