@@ -115,4 +115,5 @@ def count_tokens(docs: DataFrame, path: str, paths: tuple[str, str] | None = Non
     """
     members = write_flat(docs, path, paths, key=key)
     counts = stitch(scan_blocks(file_blocks(members.select("file").distinct(), block_tokens)))
-    return members.join(counts, ["file", "ordinal"]).select(key, "n_tokens")
+    # file names compress so well that the size Spark sees says little: never broadcast
+    return members.join(counts.hint("merge"), ["file", "ordinal"]).select(key, "n_tokens")
