@@ -118,7 +118,7 @@ register(
 register(
     "win_session",
     _window(windows.Session("30 minutes"), keys=("user_id",)),
-    "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events), "
+    "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events), "
     f"s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM g) SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL '30 minutes' AS window_end, {M_SQL} FROM s GROUP BY user_id, n",
 )
 register("win_count", _window(windows.Count(50), order="event_id"), f"WITH r AS (SELECT *, (row_number() OVER (ORDER BY ts, event_id) - 1) // 50 AS window_number FROM events) SELECT window_number, min(ts) AS window_start, max(ts) AS window_end, {M_SQL} FROM r GROUP BY 1")
