@@ -8,7 +8,7 @@ import os
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k"
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 200_000
 LAST_LATIN = "ɏ"
 
 
