@@ -42,14 +42,28 @@ def best_fit(classes: list[tuple[int, int]], bins: int, capacity: int) -> list[t
 
 
 def least_capacity(classes: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int, int]]:
-    """Best fit into ``bins`` of the least capacity, in steps of ``GROWTH``, that suffices."""
-    if not classes:
-        return []
+    """Best fit into ``bins`` of the least capacity, in steps of ``GROWTH``, that suffices.
+
+    A group of at least an equal share of what is left takes a bin alone, so
+    that it doesn't set the others' capacity.
+    """
     classes = sorted(classes, reverse=True)
-    capacity = max(classes[0][0], -(-sum(s * n for s, n in classes) // bins))
-    while (runs := best_fit(classes, bins, capacity)) is None:
+    left, total, alone, rest = bins, sum(s * n for s, n in classes), [], []
+    for size, count in classes:
+        taken = 0
+        while taken < count and left > 1 and size * left >= total and not rest:
+            alone.append((size, taken, 1, bins - left))
+            taken, left, total = taken + 1, left - 1, total - size
+        if taken < count:
+            rest.append((size, taken, count - taken))
+    if not rest:
+        return alone
+    sizes = [(size, count) for size, _, count in rest]
+    capacity = max(sizes[0][0], -(-total // left))
+    while (runs := best_fit(sizes, left, capacity)) is None:
         capacity = max(capacity + 1, int(capacity * GROWTH))
-    return runs
+    skipped = {size: first for size, first, _ in rest}
+    return alone + [(size, first + skipped[size], count, where + bins - left) for size, first, count, where in runs]
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id") -> DataFrame:
@@ -64,8 +78,8 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id") ->
 
     Columns: ``key, size, text_crc32, text_md5, shard, slot``.  Null text is a
     group of its own; repeated rows are documents of one group; an empty table
-    gives no rows; a group larger than a shard's share has a shard that
-    exceeds it.
+    gives no rows; a group larger than an equal share has a shard alone, which
+    exceeds the others.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.when(F.col("text").isNull(), "null").otherwise(F.md5(text.cast("binary")))
