@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +35,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet and read again, so that later steps neither repeat nor lose it."""
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._kept_path = path
+    return kept
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete tables of :func:`saved` that nothing will read again, and the shuffle files behind them.
+
+    Spark's cleaner drops shuffle files of finished jobs when the driver
+    collects garbage, in the background.
+    """
+    spark = kept[0].sparkSession
+    for df in kept:
+        remove(spark, df._kept_path)
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def remove(spark: SparkSession, path: str) -> None:
