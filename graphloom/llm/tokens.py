@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+from functools import cached_property
 
 import numpy as np
 
@@ -33,17 +34,24 @@ class ChunkEncoder:
     def __init__(self, json_path: str, ranks_path: str, width: int = 4):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.tokenizer = Tokenizer.from_file(json_path)
-        self.tokenizer.encode_special_tokens = True
+        self.json_path = json_path
         self.dtype = f"<u{width}"
         self.chunks = _Chunks(self)
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded when the first text beyond Latin letters comes."""
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        found = Tokenizer.from_file(self.json_path)
+        found.encode_special_tokens = True
+        return found
+
     def ids(self, text: str) -> bytes:
         if text > "" and max(text) > LAST_LATIN:
             found = self.tokenizer.encode(text, add_special_tokens=False).ids
