@@ -10,7 +10,7 @@ import numpy as np
 SCALES = (1.0, 0.71, 0.5)
 RADIUS = 9
 BITS = 256
-CORNERS = 32
+CORNERS = 24
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
@@ -48,7 +48,7 @@ def _decode_pnm(data: bytes) -> np.ndarray:
             at = data.index(b"\n", at)
             continue
         start = at
-        while not data[at : at + 1].isspace():
+        while at < len(data) and not data[at : at + 1].isspace():
             at += 1
         fields.append(int(data[start:at]))
     w, h, most = fields
@@ -182,6 +182,17 @@ def descriptors(image: np.ndarray, most: int = CORNERS) -> tuple[np.ndarray, np.
     return np.concatenate(places), np.concatenate(bits)
 
 
+def mutual_matches(left: np.ndarray, right: np.ndarray, most: int = 64) -> np.ndarray:
+    """Rows ``i, j`` of descriptors that are each other's nearest and differ in at most ``most`` bits."""
+    if not len(left) or not len(right):
+        return np.zeros((0, 2), np.int64)
+    apart = np.bitwise_count(left[:, None, :] ^ right[None, :, :]).sum(axis=2, dtype=np.int64)
+    there, back = apart.argmin(axis=1), apart.argmin(axis=0)
+    i = np.arange(len(left))
+    kept = (back[there] == i) & (apart[i, there] <= most)
+    return np.stack((i[kept], there[kept]), axis=1)
+
+
 def consensus(left: np.ndarray, right: np.ndarray, tolerance: float = 3.0) -> int:
     """Most corner pairs that agree on one scaling, turn and shift.
 

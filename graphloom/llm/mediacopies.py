@@ -2,107 +2,126 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import star_roots
-from .images import consensus, decode, descriptors
-from .storage import saved
 
-TABLES = 8
+from .images import BITS, consensus, decode, descriptors, mutual_matches
+from .storage import discard, saved
+
+TABLES = 4
+TABLE_MARK = 0x9E3779B97F4A7C15
 LEAST_AGREEMENT = 7
+LEAST_SHARED = 2
 
 
 def local_features(media: DataFrame, key: str = "media_id", image: str = "image") -> DataFrame:
-    """A row for each corner and Hamming table: ``entry`` is 32 of its 256 bits and the table's number.
+    """A row for each image: ``id, digest, places, bits``.
 
-    Images that can't be read, nulls and images without corners give no rows.
+    ``places`` has each corner's x, y, scale and angle as 32-bit floats,
+    ``bits`` its 256 tests; both are empty where an image can't be read or
+    shows no corners, and null, like the SHA-256 ``digest``, where it is null.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
-                entries, ids, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 4))]
-                for own, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = []
+                for data in batch.column(1).to_pylist():
                     picture = decode(data)
-                    if picture is None or own is None:
-                        continue
-                    where, bits = descriptors(picture)
-                    parts = bits.reshape(len(bits), TABLES, 4).copy().view(">u4")[:, :, 0].astype(np.int64)
-                    entries.append((parts * TABLES + np.arange(TABLES)).ravel())
-                    ids.append(np.full(parts.size, own, np.int64))
-                    places.append(np.repeat(where, TABLES, axis=0))
-                place = np.concatenate(places).astype(np.float32)
-                columns = [pa.array(np.concatenate(entries)), pa.array(np.concatenate(ids)), *(pa.array(place[:, k]) for k in range(4))]
-                yield pa.RecordBatch.from_arrays(columns, names=["entry", "id", "x", "y", "scale", "angle"])
+                    where, bits = descriptors(picture) if picture is not None else (np.zeros((0, 4)), np.zeros((0, BITS // 8), np.uint8))
+                    rows.append((None, None, None) if data is None else (hashlib.sha256(data).digest(), where.astype("<f4").tobytes(), bits.tobytes()))
+                digest, places, tests = zip(*rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, pa.binary()) for c in (digest, places, tests))], names=["id", "digest", "places", "bits"])
 
-    return media.select(key, image).mapInArrow(read, "entry long, id long, x float, y float, scale float, angle float")
+    return media.select(key, image).mapInArrow(read, "id long, digest binary, places binary, bits binary")
 
 
-def agreeing(matches: DataFrame, least: int = LEAST_AGREEMENT) -> DataFrame:
-    """Image pairs ``a, b`` of which ``least`` corners agree on one similarity mapping.
+def table_entries(features: DataFrame) -> DataFrame:
+    """``entry, id``: each corner's 256 bits as 64-bit entries of four Hamming tables.
 
-    ``matches`` has ``a, b`` and each side's place as structs ``left, right``.
-    A pair's matches are at most its corners times the tables.
+    Two descriptors that differ in fewer bits than there are tables share an
+    entry; a copy shares many corners, so it is found at larger distances.
+    Neighbouring tests are alike, so entries must be this long for unlike
+    images to share few.
     """
-    pairs = matches.groupBy("a", "b").agg(F.collect_set(F.struct("left", "right")).alias("m")).where(F.size("m") >= least)
-    flat = pairs.select("a", "b", _numbers("left").alias("left"), _numbers("right").alias("right"))
 
-    @F.pandas_udf("int")
-    def agreed(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([consensus(np.asarray(p, float).reshape(-1, 4), np.asarray(q, float).reshape(-1, 4)) for p, q in zip(left, right)])
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = np.frombuffer(bits, ">u8").reshape(-1, TABLES).astype(np.uint64)
+                marks = np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(TABLE_MARK)
+                entries = np.unique(parts * np.uint64(TABLE_MARK) + marks).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(entries), pa.array(np.full(len(entries), own, np.int64))], names=["entry", "id"])
+
+    return features.select("id", "bits").where("length(bits) > 0").mapInArrow(split, "entry long, id long")
+
 
-    return flat.where(agreed("left", "right") >= least).select("a", "b")
+def agreeing(pairs: DataFrame, features: DataFrame, least: int = LEAST_AGREEMENT) -> DataFrame:
+    """The pairs ``a, b`` of which ``least`` mutually nearest corners agree on one similarity mapping."""
+    left = features.select(F.col("id").alias("a"), F.col("places").alias("pa"), F.col("bits").alias("ba"))
+    right = features.select(F.col("id").alias("b"), F.col("places").alias("pb"), F.col("bits").alias("bb"))
 
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for r in batch.to_pylist():
+                p, q = (np.frombuffer(r[c], "<f4").reshape(-1, 4).astype(float) for c in ("pa", "pb"))
+                x, y = (np.frombuffer(r[c], np.uint8).reshape(-1, BITS // 8) for c in ("ba", "bb"))
+                m = mutual_matches(x, y)
+                if len(m) >= least and consensus(p[m[:, 0]], q[m[:, 1]]) >= least:
+                    kept.append((r["a"], r["b"]))
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept)], names=["a", "b"])
 
-def _numbers(side: str):
-    """The four numbers of one side of each match, one after another."""
-    return F.flatten(F.transform("m", lambda match: F.array(*(match[side][k] for k in ("x", "y", "scale", "angle")))))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb", "ba", "bb").mapInArrow(verify, "a long, b long").distinct()
 
 
 def copy_classes(media: DataFrame, key: str = "media_id", image: str = "image", least: int = LEAST_AGREEMENT) -> DataFrame:
     """``key, class_id, n_links`` of every image.
 
-    Equal bytes are one image from the start, so exact copies never meet.
-    First every table entry's images are matched with the least of them, which
-    costs a row for each corner and joins most of a large group of edited
-    copies; then one image of each class is matched with all that share an
-    entry.  Links need geometric consensus.  ``class_id`` is the least key
-    that can be reached; ``n_links`` counts verified links and exact copies.
-    Unreadable images are classes of equal bytes.  Null images and null keys
-    stand alone, with class null where the key is null.
+    Equal bytes are one image before anything is joined, so exact copies never
+    meet.  Table entries that only one image has are dropped after a
+    pre-aggregated count.  Then each entry's images are paired with the least
+    of them, a row for each, which joins most of a large group of edited
+    copies; after that one image of each class is paired with all that share
+    ``LEAST_SHARED`` entries with it.  A pair is a link when its corners agree
+    on a mapping.  ``class_id`` is the least key that can be reached;
+    ``n_links`` counts verified links and exact copies.  Unreadable images are
+    classes of equal bytes.  Null images and null keys stand alone, the class
+    of a null key is null.  Images with one key and different bytes are
+    compared by all of them, and share the key's class.
     """
-    digest = F.when(F.col(image).isNotNull() & F.col(key).isNotNull(), F.sha2(image, 256))
-    rows = saved(media.select(F.col(key).alias("_key"), digest.alias("_digest")), "media")
-    unique = saved(rows.where("_digest is not null").groupBy("_digest").agg(F.min("_key").alias("_least"), F.count("*").alias("_copies")), "media")
-    # an image for each digest: rows may repeat, or share a key with other bytes
-    least_rows = unique.select("_digest", "_least")
-    hashed = media.select(key, image, F.sha2(image, 256).alias("_d"))
-    first = hashed.join(least_rows, (F.col("_d") == F.col("_digest")) & (F.col(key) == F.col("_least")), "left_semi").dropDuplicates(["_d", key])
-    features = saved(local_features(first, key, image), "features")
-    place = F.struct("x", "y", "scale", "angle")
-    links, roots = None, None
-    for last in (False, True):
-        own = features
-        if roots is not None:
-            own = features.join(roots, features["id"] == roots["node"], "left_anti")
-        if last:
-            left = own.select("entry", F.col("id").alias("a"), place.alias("left"))
-            matches = left.join(own.select("entry", F.col("id").alias("b"), place.alias("right")), "entry").where("a < b")
-        else:
-            leaders = own.groupBy("entry").agg(F.min(F.struct("id", place.alias("left"))).alias("l"), F.countDistinct("id").alias("n")).where("n > 1").select("entry", F.col("l.id").alias("a"), "l.left")
-            matches = own.select("entry", F.col("id").alias("b"), place.alias("right")).join(leaders, "entry").where("a < b")
-        found = saved(agreeing(matches, least), "media-links")
-        links = found if links is None else links.unionByName(found).distinct()
-        roots = star_roots(links)
-    degree = links.select(F.col("a").alias("_n")).unionByName(links.select(F.col("b").alias("_n"))).groupBy("_n").agg(F.count("*").alias("_degree"))
-    homes = unique.join(roots, F.col("_least") == F.col("node"), "left").join(degree, F.col("_least") == F.col("_n"), "left")
-    homes = homes.select(F.col("_digest").alias("_of"), F.coalesce("root", "_least").alias("class_id"), (F.coalesce("_degree", F.lit(0)) + F.col("_copies") - 1).alias("n_links"))
-    out = rows.join(homes, F.col("_digest") == F.col("_of"), "left")
-    return out.select(F.col("_key").alias(key), F.coalesce("class_id", "_key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    features = saved(local_features(media, key, image), "features")
+    known = features.where("id is not null and digest is not null")
+    unique = saved(known.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "media")
+    # of images with one least key the one with the least digest stands for the key
+    first = unique.groupBy("least").agg(F.min("digest").alias("chosen"))
+    bits = known.select("id", "digest", "bits").join(first, (F.col("id") == F.col("least")) & (F.col("digest") == F.col("chosen")), "left_semi")
+    entries = saved(table_entries(bits.dropDuplicates(["id", "digest"])), "entries")
+    shared = saved(entries.groupBy("entry").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a < most").select("entry", "a"), "entries")
+    members = saved(entries.join(shared, "entry"), "entries")
+    discard(entries, shared)
+    led = members.where("a < id").groupBy("a", F.col("id").alias("b")).count().where(F.col("count") >= LEAST_SHARED).select("a", "b")
+    led = saved(led, "media-pairs")
+    links = saved(agreeing(led, known, least), "media-links")
+    roots = star_roots(links)
+    discard(led)
+    open_ = members.join(roots, members["id"] == roots["node"], "left_anti").select("entry", "id")
+    pairs = open_.select("entry", F.col("id").alias("a")).join(open_.select("entry", F.col("id").alias("b")), "entry").where("a < b")
+    pairs = pairs.groupBy("a", "b").count().where(F.col("count") >= LEAST_SHARED).select("a", "b")
+    links = saved(links.unionByName(agreeing(pairs.join(links, ["a", "b"], "left_anti"), known, least)), "media-links")
+    roots = star_roots(links)
+    degree = links.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("degree"))
+    homes = unique.join(roots, F.col("least") == F.col("node"), "left").join(degree, F.col("least") == F.col("n"), "left")
+    homes = homes.select(F.col("digest").alias("_of"), F.coalesce("root", "least").alias("class_id"), (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    rows = features.select("id", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest"))
+    out = rows.join(homes, F.col("digest") == F.col("_of"), "left")
+    return out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from graphloom.sources.shared import new_dir, saved, shared_dir
+from graphloom.sources.shared import discard, new_dir, saved, shared_dir
 
-__all__ = ["free_name", "new_dir", "saved", "shared_dir"]
+__all__ = ["discard", "free_name", "new_dir", "saved", "shared_dir"]
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -15,3 +15,4 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
