@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import mixing, packing, rules, simhash, sitebayes
+from graphloom.llm import jaccard, mixing, packing, rules, sitebayes
 from graphloom.llm.storage import saved
 from graphloom.llm.textmodel import TextModel
 
@@ -29,8 +29,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, over shingles of five words."""
-    return simhash.one_of_each(docs, words=5)
+    """One document of each group that pairs of similarity 0.8 or more link, over shingles of five words."""
+    return jaccard.one_of_each(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

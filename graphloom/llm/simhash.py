@@ -59,14 +59,14 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", extra: dict[str, Column]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t, words) for t in _texts(batch.column(0))), np.uint64, batch.num_rows)
+            fps = np.fromiter((fingerprint(t, words) for t in texts(batch.column(0))), np.uint64, batch.num_rows)
             columns = [*batch.columns[1:], pa.array(fps.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "fp"])
 
     return narrow.mapInArrow(add, f"{fields}, fp long")
 
 
-def _texts(column: pa.Array) -> Iterator[str | None]:
+def texts(column: pa.Array) -> Iterator[str | None]:
     for at in range(0, len(column), 64):
         yield from column.slice(at, 64).to_pylist()
 
@@ -178,6 +178,12 @@ def one_of_each(docs: DataFrame, errors: int = ERRORS, key: str = "doc_id", word
     marked = saved(fingerprints(docs, key, {"_md5": digest}, words), "fingerprints")
     ranked = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_md5").alias("md5"))
     homes = component_table(marked.withColumn("_least", ranked), errors)
+    return standing_rows(docs, homes, key)
+
+
+def standing_rows(docs: DataFrame, homes: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` with the key and the text's MD5 of a ``_least`` of ``homes``, repeated rows once."""
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     chosen = homes.select(F.col("_least.key").alias("_key"), F.col("_least.md5").alias("_chosen")).distinct()
     mark = free_name(docs, "_md5")
     with_mark = docs.withColumn(mark, digest)
