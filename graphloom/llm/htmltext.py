@@ -53,6 +53,7 @@ class Line:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     inside: bool = False
+    dropped: bool = False
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
@@ -89,9 +90,10 @@ def page_lines(html: str) -> tuple[list[Line], bool]:
     at, aside, article, links = 0, 0, 0, 0
 
     def text(piece: str) -> None:
+        line = lines[-1]
         if aside or not piece:
+            line.dropped |= bool(piece.strip())
             return
-        line = lines[-1]
         decoded = unescape(piece)
         line.parts.append(decoded)
         line.inside |= article > 0 and not decoded.isspace()
@@ -156,11 +158,14 @@ def main_text(html: str | None, window: int = WINDOW_LINES, surge: int = SURGE_C
     marks its article and the line is in it (and none elsewhere).  Sums over ``window``
     lines find where text surges from nothing and where it dives to nothing.
     With a marked article the text lies between the first surge and the last
-    dive; else it is the stretch with the most text among those that reach
-    ``surge`` characters, or all stretches where none does.  Lines in it are
-    kept whole.  Null, empty and text-free pages give "".
+    dive; else it is all stretches from the first to the last that reach
+    ``surge`` characters, or all stretches where none does.  There, lines
+    that hold nothing at all, as nested tags make them, don't count.  Lines in
+    a stretch are kept whole.  Null, empty and text-free pages give "".
     """
     lines, marked = page_lines(html or "")
+    if not marked:
+        lines = [line for line in lines if line.dropped or line.text()]
     texts = [line.text() for line in lines]
     if marked:
         texts = [t if line.inside else "" for t, line in zip(texts, lines)]
@@ -181,8 +186,8 @@ def main_text(html: str | None, window: int = WINDOW_LINES, surge: int = SURGE_C
     if marked:
         kept = [(stretches[0][0], stretches[-1][1])]
     else:
-        dense = [s for s in stretches if max(sums[s[0] : s[1]]) >= surge]
-        kept = [max(dense, key=lambda s: (sum(weights[s[0] : s[1]]), -s[0]))] if dense else stretches
+        dense = [k for k, (a, b) in enumerate(stretches) if max(sums[a:b]) >= surge]
+        kept = stretches[dense[0] : dense[-1] + 1] if dense else stretches
     return "\n".join(t for a, b in kept for t in texts[a:b] if t)
 
 

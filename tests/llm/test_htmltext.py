@@ -22,6 +22,22 @@ PAGES = [
 ]
 
 
+LONG = ["Some long text of a part that goes on and on, %d. " % k * 4 for k in range(4)]
+AD = "<table><tr><td><div class=ad>" + "<p>Buy now</p>" * 5 + "</div></table>"
+UNMARKED = [
+    "".join(f"<div><div><p>{t}</p></div></div>" for t in LONG),
+    "".join(f"<section><div><h2>Part</h2></div><div><p>{t}</p></div></section>" for t in LONG),
+    f"<div><p>{LONG[0]}</p>{AD}<p>{LONG[1]}</p></div>" + AD + f"<div><p>Short.</p></div>{AD}<div><p>{LONG[2]}</p></div><div><p>{LONG[3]}</p></div>",
+]
+
+
+@pytest.mark.parametrize("page", UNMARKED)
+def test_unmarked_pages_keep_all_sections(page):
+    got = htmltext.main_text(page).split("\n")
+    assert [t for t in got if t not in ("Part", "Short.")] == [t.strip() for t in LONG]
+    assert got.count("Part") == page.count("Part") and got.count("Short.") == page.count("Short.")
+
+
 @pytest.mark.parametrize(("page", "want"), PAGES)
 def test_main_text(page, want):
     assert htmltext.main_text(page) == want
