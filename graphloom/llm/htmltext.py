@@ -14,6 +14,7 @@ from .storage import free_name
 
 WINDOW_LINES = 3
 SURGE_CHARS = 86
+ARTICLE, MAIN = "article", "main"
 
 # Elements of the HTML standard, and names that sites give to what surrounds an article.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -41,6 +42,9 @@ ASIDE_NAMES = {
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[!?/a-zA-Z][^>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+_ARTICLE = re.compile(r"<article[\s>/]", re.I)
+_MAIN = re.compile(r"<main[\s>/]|role\s*=\s*[\"']?main\b", re.I)
+_ROLE_MAIN = re.compile(r"role\s*=\s*[\"']?main\b", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _NAME = re.compile(r"[a-z]+")
 _CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -78,6 +82,37 @@ def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
 def page_lines(html: str) -> tuple[list[Line], bool]:
     """The page's blocks, and whether the page marks its article.
 
+    It does where an article element, or else a main element, that is no part
+    of a sidebar or the like holds text; comments and scripts open none.  An
+    article that holds links only marks nothing where the text outside links
+    is that of an article without it.
+    """
+    found = None
+    for kind, sign in ((ARTICLE, _ARTICLE), (MAIN, _MAIN)):
+        if sign.search(html):
+            lines = _lines(html, kind)
+            inside = [line for line in lines if line.inside]
+            if any(len(line.text()) > line.linked for line in inside):
+                return lines, True
+            if inside:
+                found = found or lines
+    lines = _lines(html, None)
+    if found and max(_sums(_unlinked([line for line in lines if line.text()]), WINDOW_LINES), default=0) < SURGE_CHARS:
+        return found, True
+    return lines, False
+
+
+def _unlinked(lines: list[Line]) -> list[int]:
+    return [max(0, len(line.text()) - line.linked) for line in lines]
+
+
+def _sums(weights: list[int], window: int) -> list[int]:
+    return [sum(weights[i : i + window]) for i in range(len(weights))]
+
+
+def _lines(html: str, kind: str | None) -> list[Line]:
+    """The page's blocks, those in an element of the ``kind`` marked as inside.
+
     Markup, comments and raw-text elements are stripped; what stands in a
     menu, header, footer, sidebar, notice, advert, form, hidden element or
     reader comments leaves empty lines.  An element left open ends with the
@@ -85,8 +120,6 @@ def page_lines(html: str) -> tuple[list[Line], bool]:
     """
     lines = [Line()]
     stack: list[tuple[str, bool, bool]] = []  # name, aside, article
-    marks = re.search(r"<article[\s>/]", html, re.I), re.search(r"<main[\s>/]|role\s*=\s*[\"']?main\b", html, re.I)
-    marked = bool(marks[0] or marks[1])
     at, aside, article, links = 0, 0, 0, 0
 
     def text(piece: str) -> None:
@@ -141,14 +174,14 @@ def page_lines(html: str) -> tuple[list[Line], bool]:
             while stack and stack[-1][0] == "head":
                 pop(len(stack) - 1)
         is_aside = _is_aside(name, attributes, article > 0)
-        is_article = not is_aside and (name == "article" if marks[0] else name == "main" or bool(re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I)))
+        is_article = not is_aside and (name == kind or kind == MAIN and bool(_ROLE_MAIN.search(attributes)))
         if attributes.endswith("/") and name in ("svg", "math", "path"):
             continue
         stack.append((name, is_aside, is_article))
         aside += is_aside
         article += is_article
         links += name == "a"
-    return lines, marked
+    return lines
 
 
 def main_text(html: str | None, window: int = WINDOW_LINES, surge: int = SURGE_CHARS) -> str:
@@ -172,8 +205,8 @@ def main_text(html: str | None, window: int = WINDOW_LINES, surge: int = SURGE_C
         weights = [len(t) for t in texts]
         surge = 1
     else:
-        weights = [max(0, len(t) - line.linked) for t, line in zip(texts, lines)]
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+        weights = _unlinked(lines)
+    sums = _sums(weights, window)
     stretches, start = [], None
     for i, total in enumerate([*sums, 0]):
         if total and start is None:

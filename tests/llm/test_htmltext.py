@@ -31,6 +31,29 @@ UNMARKED = [
 ]
 
 
+REAL = f"<div><p>{LONG[1]}</p></div>"
+FALSE_MARKS = [
+    f"<!-- <article>old</article> -->{REAL}",
+    f"<script>var t = '<article class=x>' + y;</script>{REAL}",
+    f"<div data-t='<main>'>{REAL}</div>",
+    f"<aside><article><p>teaser of another</p></article></aside>{REAL}",
+    f"{REAL}<div class=related><article><h3>Other</h3><p>{LONG[2]}</p></article></div>",
+    f"{REAL}<article><a href=x>Another story</a></article>",
+    f"<!-- <article> --><main>{REAL}</main><div><p>{LONG[3]}</p></div>",
+    f"{REAL}<article></article>",
+]
+
+
+@pytest.mark.parametrize("page", FALSE_MARKS)
+def test_marks_that_open_no_article(page):
+    assert LONG[1].strip() in htmltext.main_text(page)
+    assert not any(LONG[k].strip() in htmltext.main_text(page) for k in (2, 3))
+
+
+def test_an_article_of_links_alone_stays():
+    assert htmltext.main_text("<article><p><a href=x>All of it</a></p></article><div>By us</div>") == "All of it"
+
+
 @pytest.mark.parametrize("page", UNMARKED)
 def test_unmarked_pages_keep_all_sections(page):
     got = htmltext.main_text(page).split("\n")
