@@ -40,6 +40,15 @@ ASIDE_NAMES = {
     "sponsored", "subscribe", "subscription", "teaser", "toolbar", "topbar", "widget",
 }
 
+# Words that only say what kind of box a named part is, as in "related-posts" or "ad-slot-top".
+BOX_NAMES = {
+    "area", "article", "articles", "bar", "block", "bottom", "box", "button", "buttons", "container", "content", "count", "entry", "form",
+    "group", "holder", "icon", "icons", "in", "inline", "inner", "item", "items", "left", "link", "links", "list", "media", "module",
+    "outer", "page", "panel", "post", "posts", "right", "row", "section", "site", "slot", "stories", "story", "this", "title", "top",
+    "unit", "wrap", "wrapper",
+}
+PROSE = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
+
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[!?/a-zA-Z][^>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _ARTICLE = re.compile(r"<article[\s>/]", re.I)
@@ -74,7 +83,26 @@ def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
             return True
         if key == "role" and value.lower() in ASIDE_ROLES:
             return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and any(w in ASIDE_NAMES for w in _NAME.findall(_CASE.sub(" ", value).lower())):
+        if key in ("class", "id") and name not in ("html", "body", "article", "main") and _names_part(name, key, value, in_article):
+            return True
+    return False
+
+
+def _names_part(name: str, key: str, value: str, in_article: bool) -> bool:
+    """Whether a class or id names a part of the site.
+
+    In an article, and on headings and paragraphs, a whole token must: no word
+    of it may be of another kind.  Ids of headings and paragraphs are slugs of
+    their text, and headers of an article are part of it.
+    """
+    if name in PROSE and key == "id":
+        return False
+    for token in value.split():
+        words = set(_NAME.findall(_CASE.sub(" ", token).lower()))
+        parts = words & ASIDE_NAMES
+        if in_article:
+            parts.discard("header")
+        if parts and (words <= ASIDE_NAMES | BOX_NAMES or not (in_article or name in PROSE)):
             return True
     return False
 

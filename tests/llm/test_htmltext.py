@@ -54,6 +54,26 @@ def test_an_article_of_links_alone_stays():
     assert htmltext.main_text("<article><p><a href=x>All of it</a></p></article><div>By us</div>") == "All of it"
 
 
+SLUGS = [
+    ("<article><h2 id='how-search-works'>How</h2><p>a</p></article>", "How\na"),
+    ("<article><h2 id=search>Search</h2><section id='related-work'><h2>Related</h2><p>b</p></section></article>", "Search\nRelated\nb"),
+    ("<article><p id='privacy-law'>c</p><p class='share-price'>d</p></article>", "c\nd"),
+    ("<article><div class='entry-header'><h1>Title</h1></div><p>e</p></article>", "Title\ne"),
+    ("<h2 id='how-search-works'>How it works</h2><p>f</p>", "How it works\nf"),
+]
+PARTS = ["ad-slot-top", "related-posts", "shareButtons", "article__comments", "newsletter-signup", "x social-links", "cookie-notice"]
+
+
+@pytest.mark.parametrize(("page", "want"), SLUGS)
+def test_slugs_name_no_part(page, want):
+    assert htmltext.main_text(page) == want
+
+
+@pytest.mark.parametrize("part", PARTS)
+def test_named_parts_of_an_article_are_dropped(part):
+    assert htmltext.main_text(f"<article><p>a</p><div class='{part}'>no</div><p class='{part}'>no</p><p>b</p></article>") == "a\nb"
+
+
 @pytest.mark.parametrize("page", UNMARKED)
 def test_unmarked_pages_keep_all_sections(page):
     got = htmltext.main_text(page).split("\n")
