@@ -89,12 +89,11 @@ def copy_classes(media: DataFrame, key: str = "media_id", image: str = "image",
 
     Equal bytes are one image before anything is joined, so exact copies never
     meet.  Table entries that only one image has are dropped after a
-    pre-aggregated count.  Then each entry's images are paired with the least
-    of them, a row for each, which joins most of a large group of edited
-    copies; after that one image of each class is paired with all that share
-    ``LEAST_SHARED`` entries with it.  A pair is a link when its corners agree
+    pre-aggregated count.  Every two images that share ``LEAST_SHARED`` entries
+    are tested, members of one class too, so a family of edited copies costs
+    the square of its distinct images.  A pair is a link when its corners agree
     on a mapping.  ``class_id`` is the least key that can be reached;
-    ``n_links`` counts verified links and exact copies.  Unreadable images are
+    ``n_links`` counts an image's verified links and exact copies.  Unreadable images are
     classes of equal bytes.  Null images and null keys stand alone, the class
     of a null key is null.  Images with one key and different bytes are
     compared by all of them, and share the key's class.
@@ -106,18 +105,12 @@ def copy_classes(media: DataFrame, key: str = "media_id", image: str = "image",
     first = unique.groupBy("least").agg(F.min("digest").alias("chosen"))
     bits = known.select("id", "digest", "bits").join(first, (F.col("id") == F.col("least")) & (F.col("digest") == F.col("chosen")), "left_semi")
     entries = saved(table_entries(bits.dropDuplicates(["id", "digest"])), "entries")
-    shared = saved(entries.groupBy("entry").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a < most").select("entry", "a"), "entries")
+    shared = saved(entries.groupBy("entry").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a < most").select("entry"), "entries")
     members = saved(entries.join(shared, "entry"), "entries")
     discard(entries, shared)
-    led = members.where("a < id").groupBy("a", F.col("id").alias("b")).count().where(F.col("count") >= LEAST_SHARED).select("a", "b")
-    led = saved(led, "media-pairs")
-    links = saved(agreeing(led, known, least), "media-links")
-    roots = star_roots(links)
-    discard(led)
-    open_ = members.join(roots, members["id"] == roots["node"], "left_anti").select("entry", "id")
-    pairs = open_.select("entry", F.col("id").alias("a")).join(open_.select("entry", F.col("id").alias("b")), "entry").where("a < b")
+    pairs = members.select("entry", F.col("id").alias("a")).join(members.select("entry", F.col("id").alias("b")), "entry").where("a < b")
     pairs = pairs.groupBy("a", "b").count().where(F.col("count") >= LEAST_SHARED).select("a", "b")
-    links = saved(links.unionByName(agreeing(pairs.join(links, ["a", "b"], "left_anti"), known, least)), "media-links")
+    links = saved(agreeing(pairs, known, least), "media-links")
     roots = star_roots(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("degree"))
     homes = unique.join(roots, F.col("least") == F.col("node"), "left").join(degree, F.col("least") == F.col("n"), "left")

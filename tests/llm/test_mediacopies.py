@@ -54,6 +54,14 @@ def test_copies(spark):
     assert mediacopies.copy_classes(df.where("false")).count() == 0
 
 
+def test_links_between_all_members_of_a_family(spark):
+    picture = noise(400)
+    family = [images.encode_png(np.clip(picture * (1 - 0.04 * k) + 3 * k, 0, 255)) for k in range(6)]
+    df = spark.createDataFrame([(k, bytearray(data)) for k, data in enumerate(family)], "media_id long, image binary")
+    got = mediacopies.copy_classes(df).collect()
+    assert [(r.class_id, r.n_links) for r in sorted(got)] == [(0, 5)] * 6
+
+
 def test_copies_of_all_vectors(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 150")
     got = {r.media_id: r.class_id for r in mediacopies.copy_classes(renders.media_from_vectors(vectors)).collect()}
