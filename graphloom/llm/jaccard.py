@@ -1,4 +1,10 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles."""
+"""Near-duplicates of a given Jaccard similarity: SimHash windows joined on tries, then exact sets.
+
+Sets of similarity 0.8 differ in about 15 % of their SimHash bits, more than
+one fingerprint of 64 bits can be searched for.  So a set gets sixteen
+independent windows of 40 bits, each joined with an error budget of four, and
+128 further bits that a pair must come near in as well.
+"""
 
 from __future__ import annotations
 
@@ -11,17 +17,21 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import star_roots
 
-from .simhash import SEED, standing_rows, texts
-from .storage import discard, saved
+from .hammingtrie import SEGMENTS, WINDOW
+from .simhash import SEED, bit_counts, standing_rows, texts, trie_links
+from .storage import saved
 
 SHINGLE_WORDS = 5
 LEAST_SHARED, OF_UNION = 4, 5  # a link has at least 4/5 of the union in common
-BANDS = 40
-BAND_ROWS = 6
 BLOCK_SHINGLES = 1_000_000
 
-_DRAW = np.random.RandomState(SEED)
-_TURNS, _MIXES = (_DRAW.randint(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+WINDOWS = 16
+WINDOW_ERRORS = 4
+WINDOW_BYTES = 5
+MARK_BITS = 128
+MOST_MARK_BITS = 36  # four standard deviations above the mean at similarity 0.8
+_WORDS = (8 * WINDOWS * WINDOW_BYTES + MARK_BITS) // 64
+_STEPS = np.arange(1, _WORDS + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -41,18 +51,66 @@ def set_id(hashes: np.ndarray) -> int:
     return xxh64_intdigest(hashes.tobytes(), SEED)
 
 
-def band_entries(hashes: np.ndarray) -> np.ndarray:
-    """One entry for each of ``BANDS`` bands of ``BAND_ROWS`` least values; none for an empty set.
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """768 SimHash bits of a set of shingle hashes: sixteen windows of 40, then 128; none for an empty set.
 
-    Sets of similarity s share one with a chance of 1 - (1 - s**6)**40, which
-    at 0.8 is 0.999995.
+    Each hash is mixed with twelve steps into as many independent words.  A
+    bit is set when over half of the words have it; at a tie, when the set's
+    least hash has it, so that tied bits of unlike sets differ.
     """
     if not len(hashes):
-        return np.zeros(0, np.uint64)
-    least = np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(least, (_TURNS[:, None] * hashes[None, at : at + 1024]).min(axis=1), out=least)
-    return (least * _MIXES).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64)
+        return b""
+    z = hashes[None, :] + _STEPS
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    words = np.ascontiguousarray(z.T).view(np.uint8)
+    first = np.unpackbits(words[int(hashes.argmin())]).astype(np.int64)
+    return np.packbits(2 * bit_counts(words) + first > len(hashes)).tobytes()
+
+
+def window_turns(sets: DataFrame) -> DataFrame:
+    """``block, bits, id, m1, m2`` of rows ``sid, wide``: each window from each of its five segments on.
+
+    ``bits`` holds the turned window and, below it, 24 bits of the marks;
+    ``block`` is the window, the turn and the leading segment.
+    """
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                rings = wide[:, : WINDOWS * WINDOW_BYTES].reshape(-1, WINDOWS, WINDOW_BYTES)
+                marks = wide[:, WINDOWS * WINDOW_BYTES :]
+                bits = np.zeros((len(wide), WINDOWS, SEGMENTS, 8), np.uint8)
+                for r in range(SEGMENTS):
+                    bits[:, :, r, :WINDOW_BYTES] = np.roll(rings, -r, axis=2)
+                bits[:, :, :, WINDOW_BYTES:] = marks[:, None, None, :3]
+                block = (np.arange(WINDOWS * SEGMENTS, dtype=np.int32).reshape(WINDOWS, SEGMENTS) << 8) | bits[..., 0]
+                times = WINDOWS * SEGMENTS
+                ids = np.repeat(batch.column(0).to_numpy(), times)
+                halves = np.ascontiguousarray(marks).view(np.int64)
+                arrays = [block.reshape(-1).astype(np.int32), bits.view(">i8").astype(np.int64).reshape(-1), ids, np.repeat(halves[:, 0], times), np.repeat(halves[:, 1], times)]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["block", "bits", "id", "m1", "m2"])
+
+    return sets.mapInArrow(turn, "block int, bits long, id long, m1 long, m2 long")
+
+
+def window_sizes(sets: DataFrame) -> DataFrame:
+    """``block, count`` of :func:`window_turns`, counted in batches before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((WINDOWS * SEGMENTS, 256), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                wide = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                for k in range(len(sums)):
+                    sums[k] += np.bincount(wide[:, k], minlength=256)
+        block = np.flatnonzero(sums.reshape(-1))
+        yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(sums.reshape(-1)[block])], names=["block", "count"])
+
+    return sets.select("wide").mapInArrow(count, "block int, count long").groupBy("block").agg(F.sum("count").alias("count"))
 
 
 def linked_sets(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -91,18 +149,18 @@ def linked_sets(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def set_table(docs: DataFrame, key: str, words: int) -> DataFrame:
-    """``key``, the text's MD5, ``sid, size`` of its shingle set and the set's ``bands``."""
+    """``key``, the text's MD5, ``sid, size`` of its shingle set and the set's ``wide`` fingerprint."""
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     narrow = docs.select("text", F.col(key), digest.alias("_md5"))
     kind = narrow.schema[1].dataType.simpleString()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(set_id(h), len(h), band_entries(h).view(np.int64)) for h in (shingle_hashes(t, words) for t in texts(batch.column(0)))]
+            sets = [(set_id(h), len(h), wide_fingerprint(h)) for h in (shingle_hashes(t, words) for t in texts(batch.column(0)))]
             ids, sizes = np.array([s[0] for s in sets], np.uint64).view(np.int64), np.array([s[1] for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids), pa.array(sizes), pa.array([s[2] for s in sets], pa.list_(pa.int64()))], names=[key, "_md5", "sid", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids), pa.array(sizes), pa.array([s[2] for s in sets], pa.binary())], names=[key, "_md5", "sid", "size", "wide"])
 
-    return narrow.mapInArrow(add, f"`{key}` {kind}, _md5 string, sid long, size long, bands array<long>")
+    return narrow.mapInArrow(add, f"`{key}` {kind}, _md5 string, sid long, size long, wide binary")
 
 
 def set_hashes(docs: DataFrame, words: int) -> DataFrame:
@@ -120,17 +178,16 @@ def set_hashes(docs: DataFrame, words: int) -> DataFrame:
 def similar_pairs(docs: DataFrame, sets: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """Links ``a, b`` that join all ``sid`` whose sets are as similar as a link asks.
 
-    An entry's sets are tied to the least of them; each component of these
-    ties is joined exactly in a task, with whole sets.  One of more than
-    ``BLOCK_SHINGLES`` shingles is dealt by hash into chunks, and every two
-    chunks share a task, so no pair of sets that share an entry goes untested.
+    Candidates are sets that share a window within its error budget and come
+    near in the marks.  Each component of candidates is joined exactly in a
+    task, with whole sets.  One of more than ``BLOCK_SHINGLES`` shingles is
+    dealt by hash into chunks, and every two chunks share a task, so no two
+    sets of a component go untested.
     """
-    one = sets.select("sid", "bands").where("size(bands) > 0").dropDuplicates(["sid"])
-    entries = saved(one.select("sid", F.explode("bands").alias("entry")), "entries")
-    shared = entries.groupBy("entry").agg(F.min("sid").alias("a"), F.max("sid").alias("most")).where("a < most").select("entry", "a")
-    ties = saved(entries.join(shared, "entry").where("a < sid").select("a", F.col("sid").alias("b")).distinct(), "ties")
-    discard(entries)
-    roots = star_roots(ties)
+    one = sets.select("sid", "wide").where("length(wide) > 0").dropDuplicates(["sid"])
+    one = saved(one, "wide-sets")
+    ties = trie_links(window_turns(one), window_sizes(one), WINDOW, WINDOW_ERRORS, MOST_MARK_BITS)
+    roots = saved(star_roots(ties), "candidates")
     homes = roots.select(F.col("node").alias("sid"), "root").unionByName(roots.select(F.col("root").alias("sid"), "root").distinct())
     homes = homes.join(sets.select("sid", "size").dropDuplicates(["sid"]), "sid")
     chunks = homes.groupBy("root").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("chunks"))

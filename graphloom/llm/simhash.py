@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import star_roots
 
-from .hammingtrie import ROOT_DEPTH, SEGMENT_BITS, SEGMENTS, forest
+from .hammingtrie import SEGMENTS, WHOLE, Shape, forest, prefix_budgets
 from .storage import free_name, saved
 
 SHINGLE_WORDS = 4
@@ -41,14 +41,19 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     starts = np.concatenate(([0], ends[:-1]))[: len(found) - words + 1].tolist()
     ends = (ends[words - 1 :] - 1).tolist()
     digests = b"".join([xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, ends)])
-    n = len(starts)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        bits = np.unpackbits(np.frombuffer(digests[8 * at : 8 * (at + (1 << 16))], np.uint8)).view(np.uint64).reshape(-1, 8)
+    counts = bit_counts(np.frombuffer(digests, np.uint8).reshape(-1, 8))
+    return int.from_bytes(np.packbits(2 * counts > len(starts)).tobytes(), "big")
+
+
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many rows of bytes have each bit, the highest bit of the first byte first."""
+    counts = np.zeros(8 * rows.shape[1], np.int64)
+    for at in range(0, len(rows), 1 << 13):
+        bits = np.unpackbits(rows[at : at + (1 << 13)], axis=1).view(np.uint64)
         # eight counters to a word; 255 rows can't overflow one
         sums = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0)
-        counts += sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+        counts += sums.view(np.uint8).reshape(len(sums), -1).sum(axis=0, dtype=np.int64)
+    return counts
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", extra: dict[str, Column] | None = None, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -76,46 +81,64 @@ def near_pairs(fps: DataFrame, errors: int = ERRORS) -> DataFrame:
 
     Each fingerprint is read from five starts of its ring of bits; those with
     the same leading segment form a block, joined on a trie of its own.  A
-    block's links are cut down to a forest of its components.  Blocks are
-    counted first (there are at most 5 x 2**13): one of more than
-    ``BLOCK_ROWS`` is dealt by hash into chunks, and every two chunks share a
-    task, so that no task holds more than about two chunks of a block.
+    block's links are cut down to a forest of its components.
     """
     if not 0 <= errors < SEGMENTS:
         raise ValueError(f"errors must be from 0 to {SEGMENTS - 1}")
-    turned = [F.struct(F.lit(r).cast("int").alias("turn"), _turned("fp", SEGMENT_BITS * r).alias("bits")) for r in range(SEGMENTS)]
+    bits = WHOLE.segment
+    turned = [F.struct(F.lit(r).cast("int").alias("turn"), _turned("fp", bits * r).alias("bits")) for r in range(SEGMENTS)]
     turns = fps.select("fp", F.explode(F.array(*turned)).alias("t")).select("fp", "t.turn", "t.bits")
-    first = F.when(F.col("turn") == SEGMENTS - 1, F.shiftrightunsigned("bits", 64 - ROOT_DEPTH)).otherwise(F.shiftrightunsigned("bits", 64 - SEGMENT_BITS))
-    turns = turns.withColumn("block", (first * SEGMENTS + F.col("turn")).cast("int")).drop("turn")
-    hot = turns.groupBy("block").count().where(F.col("count") > BLOCK_ROWS).select("block", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("chunks"))
-    dealt = turns.join(F.broadcast(hot), "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp", F.lit("chunk")), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("block", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), "bits", "fp")
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.when(F.col("turn") == SEGMENTS - 1, F.shiftrightunsigned("bits", 64 - WHOLE.root)).otherwise(F.shiftrightunsigned("bits", 64 - bits))
+    turns = turns.select((first * SEGMENTS + F.col("turn")).cast("int").alias("block"), "bits", F.col("fp").alias("id"))
+    return trie_links(turns, turns.groupBy("block").count(), WHOLE, errors)
+
+
+def trie_links(turns: DataFrame, sizes: DataFrame, shape: Shape, errors: int, most: int = 64) -> DataFrame:
+    """Links ``a, b`` of ``id`` that join the rows ``block, bits, id`` (and words to verify pairs by) of one block.
+
+    ``sizes (block, count)`` tells which blocks are split: one of more than
+    ``BLOCK_ROWS`` is cut at a node pair's next levels.  A value below a node
+    meets those below the same node and, within the error budget of the second
+    segment (one bit), those below each node that differs in one bit, so a
+    value is repeated once more for each level, whatever the number of rows.
+    """
+    deeper = int(min(1, prefix_budgets(errors, shape)[min(64, shape.root + shape.segment - 1)]))
+    marks = [c for c in turns.columns if c not in ("block", "bits", "id")]
+    levels = F.least(F.lit(shape.segment - 1), F.ceil(F.log2(F.col("count") / BLOCK_ROWS))).cast("int")
+    hot = sizes.where(F.col("count") > BLOCK_ROWS).select("block", levels.alias("split"))
+    dealt = turns.join(F.broadcast(hot), "block", "left").withColumn("split", F.coalesce("split", F.lit(0)))
+    # the bits after the root
+    own = F.when(F.col("split") == 0, F.lit(0)).otherwise(F.expr(f"shiftrightunsigned(shiftrightunsigned(shiftleft(bits, {shape.root}), 1), 63 - split)"))
+    dealt = dealt.withColumn("_own", own.cast("int"))
+    dealt = dealt.withColumn("_flip", F.explode(F.sequence(F.lit(0), F.col("split") * deeper)))
+    other = F.when(F.col("_flip") == 0, F.col("_own")).otherwise(F.col("_own").bitwiseXOR(F.expr("shiftleft(1, _flip - 1)")))
+    dealt = dealt.withColumn("_other", other)
+    dealt = dealt.select("block", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "split", "bits", "id", *marks)
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
-            # a run of whole blocks: cut where the block changes once enough rows are held
+            # a run of whole cells: cut where the cell changes once enough rows are held
             while batch.num_rows:
                 cut = 0
                 if rows >= BATCH_ROWS:
-                    ids = _task_ids(batch)
-                    changed = np.flatnonzero(ids != _task_ids(held[-1])[-1])
+                    ids = _cells(batch)
+                    changed = np.flatnonzero(ids != _cells(held[-1].slice(held[-1].num_rows - 1))[-1])
                     cut = int(changed[0]) if len(changed) else batch.num_rows
-                    held.append(batch.slice(0, cut))
+                    if cut:
+                        held.append(batch.slice(0, cut))
                     batch = batch.slice(cut)
                     if batch.num_rows:
-                        yield _linked(held, errors)
+                        yield _linked(held, shape, errors, most)
                         held, rows = [], 0
                 else:
                     held.append(batch)
                     rows += batch.num_rows
                     batch = batch.slice(batch.num_rows)
         if held:
-            yield _linked(held, errors)
+            yield _linked(held, shape, errors, most)
 
     ordered = dealt.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j")
     return ordered.mapInArrow(join, "a long, b long").distinct()
@@ -127,21 +150,24 @@ def _turned(name: str, bits: int) -> Column:
     return F.shiftleft(name, bits).bitwiseOR(F.shiftrightunsigned(name, 64 - bits))
 
 
-def _task_ids(batch: pa.RecordBatch) -> np.ndarray:
+def _cells(batch: pa.RecordBatch) -> np.ndarray:
     block, i, j = (batch.column(k).to_numpy().astype(np.int64) for k in range(3))
-    return (block << 44) | (i << 22) | j
+    return (block << 32) | (i << 16) | j
 
 
-def _linked(held: list[pa.RecordBatch], errors: int) -> pa.RecordBatch:
+def _linked(held: list[pa.RecordBatch], shape: Shape, errors: int, most: int) -> pa.RecordBatch:
     table = pa.Table.from_batches(held)
-    ids = np.concatenate([_task_ids(b) for b in held])
-    bits, fp = (table.column(k).to_numpy() for k in ("bits", "fp"))
-    order = np.lexsort((bits.view(np.uint64), ids))
-    ids, bits, fp = ids[order], bits[order].view(np.uint64), fp[order]
-    starts = np.concatenate(([0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]))
-    label = forest(bits, starts, errors)
+    cells = np.concatenate([_cells(b) for b in held])
+    split, bits, own, *words = (table.column(k).to_numpy() for k in range(3, table.num_columns))
+    order = np.lexsort((bits.view(np.uint64), cells))
+    cells, bits, own = cells[order], bits[order].view(np.uint64), own[order]
+    marks = np.stack(words, axis=1)[order].view(np.uint64) if words else None
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(cells)) + 1, [len(cells)]))
+    first = cells[starts[:-1]]
+    crossed = ((first >> 16) & 0xFFFF) != (first & 0xFFFF)
+    label = forest(bits, starts, errors, shape, split[order][starts[:-1]].astype(np.int64), crossed, marks, most)
     member = np.flatnonzero(label != np.arange(len(label)))
-    return pa.RecordBatch.from_arrays([pa.array(fp[label[member]]), pa.array(fp[member])], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(own[label[member]]), pa.array(own[member])], names=["a", "b"])
 
 
 def simhash_components(docs: DataFrame, errors: int = ERRORS, key: str = "doc_id", words: int = SHINGLE_WORDS) -> DataFrame:

@@ -62,10 +62,34 @@ def test_edited_copies_whole_and_in_chunks(spark, monkeypatch, block):
     assert kept(df) == brute_kept(df.collect())
 
 
-def test_bands_find_pairs_at_the_threshold():
-    rng, missed = np.random.default_rng(2), 0
-    for _ in range(2000):
-        a = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
-        b = np.concatenate((a[:80], rng.integers(0, 1 << 63, 10, dtype=np.uint64)))
-        missed += not (jaccard.band_entries(a) == jaccard.band_entries(b)).any()
-    assert missed <= 1
+def test_window_turns_and_sizes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, jaccard.wide_fingerprint(rng.integers(0, 1 << 63, 50, dtype=np.uint64))) for i in range(30)]
+    sets = spark.createDataFrame(rows, "sid long, wide binary")
+    turns = jaccard.window_turns(sets).toPandas()
+    assert len(turns) == 30 * 16 * 5
+    for r in turns.itertuples():
+        wide, k = rows[r.id][1], r.block >> 8
+        ring = wide[5 * (k // 5) : 5 * (k // 5) + 5]
+        ring = ring[k % 5 :] + ring[: k % 5]
+        assert (r.bits & (2**64 - 1)).to_bytes(8, "big") == ring + wide[80:83] and r.block & 255 == ring[0]
+        assert np.array([r.m1, r.m2]).tobytes() == wide[80:]
+    sizes = {r.block: r["count"] for r in jaccard.window_sizes(sets).collect()}
+    # a block's count is that of its window's segment, from whichever turn it leads
+    assert sizes == turns.groupby("block").size().to_dict()
+
+
+def test_windows_find_pairs_at_the_threshold():
+    """Sets of similarity 0.8, 0.85 and 0.9, of 30 and 300 shingles."""
+    rng = np.random.default_rng(2)
+    for n in (30, 300):
+        for similarity, least in ((0.8, 0.95), (0.85, 0.98), (0.9, 0.99)):
+            found, tries = 0, 600
+            own = round(n * (1 - similarity) / (1 + similarity))
+            for _ in range(tries):
+                a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+                b = np.concatenate((a[own:], rng.integers(0, 1 << 63, own, dtype=np.uint64)))
+                x, y = (np.frombuffer(jaccard.wide_fingerprint(v), np.uint8) for v in (a, b))
+                apart = np.bitwise_count(x ^ y).astype(int)
+                found += (apart[:80].reshape(16, 5).sum(axis=1) <= 4).any() and apart[80:].sum() <= jaccard.MOST_MARK_BITS
+            assert found >= least * tries, (n, similarity, found)
