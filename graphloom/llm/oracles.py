@@ -5,7 +5,7 @@ from __future__ import annotations
 MIX = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix') AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null ' || size) || ':mix') AS k
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -22,17 +22,30 @@ WITH d AS (
 ), l AS (
   SELECT *, (CAST((SELECT sum(source_size) FROM s) AS DOUBLE) * 1.5e0 - CAST(filled AS DOUBLE)) / CAST(still_open AS DOUBLE) AS level FROM o
 ), t AS (
-  SELECT source, source_size,
+  SELECT source, source_size, rnk,
          least(CAST(cap AS DOUBLE), coalesce((SELECT arg_min(level, place) FROM l WHERE level <= ratio) * weight, CAST(cap AS DOUBLE))) AS target
   FROM l
 ), q AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source, t.source_size, t.target, t.rnk,
+         row_number() OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size) AS ordinal,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS served
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), n AS (
+  SELECT *, unnest([1, 2]) AS pass FROM q WHERE size > 0
+), k AS (
+  SELECT *, unnest(range(0, size, 128)) AS first FROM n
+), f AS (
+  SELECT rnk, ordinal, pass, first, least(128, size - first) AS words,
+         CAST(served + (pass - 1) * source_size + first + least(128, size - first) AS DOUBLE) / target AS finish
+  FROM k
+), g AS (
+  SELECT *, coalesce(sum(words) OVER (ORDER BY finish, rnk, pass, ordinal, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+  FROM f
+), h AS (
+  SELECT rnk, ordinal, sum(greatest(0, least(words, (SELECT CAST(floor(sum(size) * 1.5e0) AS BIGINT) FROM d) - earlier))) AS taken FROM g GROUP BY rnk, ordinal
 )
-SELECT doc_id, size, source_size, target,
-       CAST(least(size, greatest(0, floor(target) - served)) + least(size, greatest(0, floor(target) - served - source_size)) AS BIGINT) AS taken
-FROM q
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(h.taken, 0) AS BIGINT) AS taken
+FROM q LEFT JOIN h ON q.rnk = h.rnk AND q.ordinal = h.ordinal
 """
 
 WARC = """

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN = 1 << 32
-ROWS_PER_BUCKET = 10_000
+ROWS_PER_BUCKET = 2_000
 
 
 def hash_position(key: Column) -> Column:
