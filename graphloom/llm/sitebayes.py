@@ -102,7 +102,12 @@ def combine(scored: DataFrame, sites: DataFrame, prior: Prior, host: str, path:
 
 
 def site_quality(docs: DataFrame, model: TextModel, host: str = "source", path: str = "lang", key: str = "doc_id", least: float = LEAST_PROBABILITY) -> DataFrame:
-    """``key, host, path`` and the posteriors of every document; texts are read once and not shuffled."""
+    """``key, host, path`` and the posteriors of every document; texts are read once and not shuffled.
+
+    ``host`` and ``path`` name columns (:func:`url_sites` makes them from
+    URLs).  Null texts are scored as empty and whole texts of any length;
+    repeated rows are documents each; an empty table gives no rows.
+    """
     columns = docs.select(F.col(key), F.col(host).alias("host"), F.col(path).alias("path"), "text")
     scored = saved(with_evidence(columns, model).drop("text"), "evidence")
     sites = site_sums(scored, "host", "path")
@@ -112,11 +117,25 @@ def site_quality(docs: DataFrame, model: TextModel, host: str = "source", path:
 def kept_documents(docs: DataFrame, model: TextModel, host: str = "source", path: str = "lang", least: float = LEAST_PROBABILITY) -> DataFrame:
     """The rows of ``docs`` whose posterior is at least ``least``, with their columns.
 
+    A row travels as one struct, so its names can't clash with the sums'.
     Texts are scored twice, once for the sites and once for the verdicts, so
-    that they needn't be shuffled or written.
+    that they needn't be shuffled or written.  A null text is scored as empty;
+    repeated rows are documents each; an empty table gives no rows.
+    """
+    evidence = free_name(docs, "evidence")
+    scored = with_evidence(docs.select(*docs.columns), model, evidence)
+    scored = scored.select(F.struct(*docs.columns).alias("doc"), F.col(host).alias("host"), F.col(path).alias("path"), F.col(evidence).alias("evidence"))
+    sites = site_sums(with_evidence(docs.select("text", F.col(host).alias("host"), F.col(path).alias("path")), model).drop("text"), "host", "path")
+    return combine(scored, sites, fit_prior(sites), "host", "path", least=least).where("kept").select("doc.*")
+
+
+def url_sites(pages: DataFrame, url: str = "url") -> tuple[Column, Column]:
+    """Host and path of ``url`` as the levels of a site: lower-case host, and the path's first folder.
+
+    A URL without a host gives null for both; the path of a page at the top
+    is "/".
     """
-    plain = docs.select(*docs.columns)
-    evidence = free_name(plain, "evidence")
-    scored = with_evidence(plain, model, evidence)
-    sites = site_sums(with_evidence(docs.select("text", host, path), model).drop("text"), host, path)
-    return combine(scored, sites, fit_prior(sites), host, path, evidence, least).where("kept").select(*docs.columns)
+    host = F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    folder = F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]+/)", 1)
+    host = F.when(host != "", host)
+    return host, F.when(host.isNotNull(), F.when(folder != "", folder).otherwise("/"))

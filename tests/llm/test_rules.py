@@ -73,6 +73,36 @@ def test_scores_do_not_depend_on_batches(model):
     assert np.allclose(model.logits(pa.array(["x", *texts], pa.string()).slice(1)), whole)
 
 
+@pytest.mark.parametrize("size", [7, 64, 1000])
+def test_scores_do_not_depend_on_blocks(model, monkeypatch, size):
+    texts = ["one two three four " * 20, None, "x" * 150 + " y", "a  b é漢漢 | " * 30, " " * 99 + "end", "naïve café", "漢字" * 80]
+    whole, rows = model.logits(pa.array(texts, pa.string())), textmodel.features(pa.array(texts, pa.string()))
+    monkeypatch.setattr(textmodel, "BLOCK_BYTES", size)
+    assert np.allclose(model.logits(pa.array(texts, pa.string())), whole, atol=1e-9)
+    cut = textmodel.features(pa.array(texts, pa.string()))
+    table = [np.zeros((len(texts), 4 << textmodel.BITS)) for _ in range(2)]
+    for t, (r, slot, value) in zip(table, (rows, cut)):
+        np.add.at(t, (r, slot), value)
+    assert np.allclose(*table)
+
+
+def test_grams_are_of_characters():
+    block = next(textmodel.blocks(pa.array(["é漢a\U0001f600b", "漢a\U0001f600"])))
+    slots, inside = textmodel.gram_slots(block)
+    assert inside.tolist() == [True, True, True, False, False, True, False, False]
+    assert slots[1] == slots[5] and len(set(slots[:3].tolist())) == 3
+
+
+def test_kept_is_the_probability_of_a_plain_sum(docs, model):
+    """Scores recomputed feature by feature."""
+    for r in rules.judge(docs.limit(60), model).collect():
+        rows, slots, values = textmodel.features(pa.array([r.text or ""]))
+        raw = model.bias + float((np.concatenate((model.words, model.pairs, model.grams)).astype(float)[slots] * values).sum())
+        p = 1 / (1 + np.exp(-(model.slope * raw + model.shift)))
+        assert abs(p - r.quality_probability) < 1e-6
+        assert r.kept == (not r.base_failed and r.quality_probability >= 0.5)
+
+
 def test_judge_keeps_rows_and_clashing_columns(odd_docs, no_docs, model):
     extra = odd_docs.withColumn("kept", F.lit("mine")).withColumn("N_WORDS", F.lit(7))
     out = rules.judge(extra, model)
@@ -118,6 +148,71 @@ def test_bad_site_lowers_its_documents(spark):
     assert out[5000].host_posterior == pytest.approx(prior.mean, abs=1e-9)  # nothing else known of the site
 
 
+def brute_posteriors(rows):
+    """``host, path`` posteriors and that of the document, from ``(host, path, log-odds)`` one document at a time."""
+    p = [1 / (1 + np.exp(-r[2])) for r in rows]
+    n, mean = len(rows), float(np.mean(p))
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for (h, a, _), x in zip(rows, p):
+        hosts[h].append(x)
+        paths[h, a].append(x)
+
+    def spread(groups):
+        return sum(((np.array(g) - np.mean(g)) ** 2).sum() for g in groups.values())
+
+    def strength(within, between):
+        return min(1e9, max(1.0, within / between)) if between > 0 else 1e9
+
+    within_path = spread(paths) / max(1, n - len(paths))
+    within_host = spread(hosts) / max(1, n - len(hosts))
+    over_hosts = sum(len(g) * (np.mean(g) - mean) ** 2 for g in hosts.values())
+    host_var = (over_hosts - (len(hosts) - 1) * within_host) / max(1, n - sum(len(g) ** 2 for g in hosts.values()) / n)
+    over_paths = sum(len(g) * (np.mean(g) - np.mean(hosts[h])) ** 2 for (h, _), g in paths.items())
+    path_var = (over_paths - (len(paths) - len(hosts)) * within_path) / max(1, n - sum(len(g) ** 2 / len(hosts[h]) for (h, _), g in paths.items()))
+    k_host, k_path = strength(within_host, host_var), strength(within_path, path_var)
+    out = []
+    for (h, a, z), x in zip(rows, p):
+        host = (k_host * mean + sum(hosts[h]) - x) / (k_host + len(hosts[h]) - 1)
+        path = (k_path * host + sum(paths[h, a]) - x) / (k_path + len(paths[h, a]) - 1)
+        odds = z + np.log(path / (1 - path)) - np.log(mean / (1 - mean))
+        out.append((x, host, path, 1 / (1 + np.exp(-odds))))
+    return out
+
+
+def test_posteriors_against_plain_sums(spark, many_docs, model):
+    rng = np.random.default_rng(4)
+    made = [(k, f"h{k % 17}" if k % 13 else None, f"p{k % 5}", float(rng.normal((k % 17) / 8 - 1 + (k % 5) / 4, 1))) for k in range(600)]
+    made += [(600, "alone", "x", -0.4), (601, "alone too", None, 1.2), (602, "h1", "rare", 3.0)]
+    scored = spark.createDataFrame(made, "doc_id long, host string, path string, evidence double")
+    sites = sitebayes.site_sums(scored, "host", "path")
+    for rows, out in (
+        ([r[1:] for r in made], sitebayes.combine(scored, sites, sitebayes.fit_prior(sites), "host", "path").orderBy("doc_id").collect()),
+        (None, sitebayes.site_quality(many_docs, model).orderBy("doc_id").collect()),
+    ):
+        rows = rows or [(r.host, r.path, float(np.log(r.document_probability / (1 - r.document_probability)))) for r in out]
+        for want, r in zip(brute_posteriors(rows), out):
+            assert np.allclose(want, (r.document_probability, r.host_posterior, r.path_posterior, r.quality_posterior), atol=1e-6)
+            assert r.kept == (r.quality_posterior >= 0.5)
+
+
+def test_url_sites(spark):
+    urls = ["http://A.example.com/fr/825?page=2", "https://u@m.x.net:80/en/25#top", "https://x.org", "https://x.org/a.html", "no url", None]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = [tuple(r) for r in df.select(*sitebayes.url_sites(df)).collect()]
+    assert got == [("a.example.com", "/fr/"), ("m.x.net", "/en/"), ("x.org", "/"), ("x.org", "/"), (None, None), (None, None)]
+
+
+def test_kept_documents_with_clashing_names(odd_docs, model):
+    names = ["kept", "_n", "_p", "_pp", "_host", "_path", "_host_n", "host", "path", "doc", "path_posterior"]
+    extra = odd_docs
+    for n in names:
+        extra = extra.withColumn(n, F.lit("mine"))
+    kept = sitebayes.kept_documents(extra, model)
+    assert kept.columns == extra.columns
+    rows = kept.collect()
+    assert len(rows) == sitebayes.kept_documents(odd_docs, model).count() and all(r[n] == "mine" for r in rows for n in names)
+
+
 def test_kept_documents(odd_docs, no_docs, model):
     kept = sitebayes.kept_documents(odd_docs.withColumn("evidence", F.lit("mine")), model)
     assert kept.columns == [*odd_docs.columns, "evidence"]
