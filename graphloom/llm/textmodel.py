@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BITS = 16
 BLOCK_BYTES = 1 << 20
 SAMPLE_ROWS = 4_000
+FIT_FEATURES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -217,8 +218,8 @@ class TextModel:
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, slots (words, then pairs, then trigrams) and relative frequencies; a long text's parts add up."""
-    keys, counts, kinds = [], [], []
+    """Rows, slots (words, then pairs, then trigrams) and relative frequencies, in 12 bytes each; a long text's parts add up."""
+    found = []
     size = 1 << BITS
     n = np.zeros((2, len(column)))
     for block in blocks(column):
@@ -230,12 +231,10 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n[1] += np.bincount(char_doc[inside], minlength=len(column))
         for kind, doc, slot in ((0, word_doc, words), (0, word_doc[paired], pairs[paired] + size), (1, char_doc[inside], grams[inside] + 2 * size)):
             key, count = np.unique(doc * (4 * size) + slot, return_counts=True)
-            keys.append(key)
-            counts.append(count)
-            kinds.append(np.full(len(key), kind))
-    key, kind = np.concatenate(keys), np.concatenate(kinds)
-    rows = key // (4 * size)
-    return rows, key % (4 * size), np.concatenate(counts) / np.maximum(n, 1)[kind, rows]
+            found.append(((key // (4 * size)).astype(np.int32), (key % (4 * size)).astype(np.int32), count.astype(np.float32), kind))
+    for rows, _, values, kind in found:
+        values /= np.maximum(n[kind], 1)[rows]
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
 def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, steps: int = 120, rate: float = 0.5, decay: float = 1e-5) -> TextModel:
@@ -257,17 +256,23 @@ def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, steps:
     balance = np.where(labels == 1, 0.5 / max(1, (labels * train).sum()), 0.5 / max(1, ((1 - labels) * train).sum())) * train
     w, bias = np.zeros(3 * size), 0.0
     m, v, mb, vb = np.zeros(3 * size), np.zeros(3 * size), 0.0, 0.0
+    pieces = [slice(at, at + FIT_FEATURES) for at in range(0, len(rows), FIT_FEATURES)]
+
+    def scores() -> np.ndarray:
+        return bias + sum(np.bincount(rows[p], w[slots[p]] * values[p], n) for p in pieces)
+
     for step in range(1, steps + 1):
-        z = np.bincount(rows, w[slots] * values, n) + bias
-        error = (_sigmoid(z) - labels) * balance
-        g = np.bincount(slots, error[rows] * values, 3 * size) + decay * w
+        error = (_sigmoid(scores()) - labels) * balance
+        g = decay * w
+        for p in pieces:
+            g += np.bincount(slots[p], error[rows[p]] * values[p], 3 * size)
         gb = error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         unbias = np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
         w -= rate * unbias * m / (np.sqrt(v) + 1e-8)
         bias -= 0.1 * rate * unbias * mb / (np.sqrt(vb) + 1e-8)
-    z = np.bincount(rows, w[slots] * values, n) + bias
+    z = scores()
     slope, shift = _platt(z[held], labels[held]) if held.any() else (1.0, 0.0)
     if prior is not None:
         at = labels[held] if held.any() else labels
