@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -64,6 +65,7 @@ class Line:
     """A block's text, in the page's order; none of it for blocks that are not part of an article."""
 
     parts: list[str] = field(default_factory=list)
+    prose: bool = False  # a heading or paragraph
     linked: int = 0
     inside: bool = False
     dropped: bool = False
@@ -148,6 +150,7 @@ def _lines(html: str, kind: str | None) -> list[Line]:
     """
     lines = [Line()]
     stack: list[tuple[str, bool, bool]] = []  # name, aside, article
+    opened: Counter[str] = Counter()
     at, aside, article, links = 0, 0, 0, 0
 
     def text(piece: str) -> None:
@@ -158,13 +161,14 @@ def _lines(html: str, kind: str | None) -> list[Line]:
         decoded = unescape(piece)
         line.parts.append(decoded)
         line.inside |= article > 0 and not decoded.isspace()
-        if links:
+        if links and not (article and line.prose):
             line.linked += len(decoded.strip())
 
     def pop(to: int) -> None:
         nonlocal aside, article, links
         while len(stack) > to:
             name, was_aside, was_article = stack.pop()
+            opened[name] -= 1
             aside -= was_aside
             article -= was_article
             links -= name == "a"
@@ -181,14 +185,12 @@ def _lines(html: str, kind: str | None) -> list[Line]:
             continue
         closing, attributes = found[1] or found[4], found[3] or found[6] or ""
         if name in BLOCK:
-            lines.append(Line())
+            lines.append(Line(prose=not closing and name in PROSE))
         elif name in ("br", "td", "th") and not aside:
             lines[-1].parts.append(" ")
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
+            if opened[name]:  # a stray end tag closes nothing, and no stack is searched for it
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             continue
         if name in VOID:
             continue
@@ -206,6 +208,7 @@ def _lines(html: str, kind: str | None) -> list[Line]:
         if attributes.endswith("/") and name in ("svg", "math", "path"):
             continue
         stack.append((name, is_aside, is_article))
+        opened[name] += 1
         aside += is_aside
         article += is_article
         links += name == "a"
@@ -215,25 +218,28 @@ def _lines(html: str, kind: str | None) -> list[Line]:
 def main_text(html: str | None, window: int = WINDOW_LINES, surge: int = SURGE_CHARS) -> str:
     """The article's blocks, white space in each made one space, joined by newlines.
 
-    Each line weighs its text outside links, or all of its text where the page
-    marks its article and the line is in it (and none elsewhere).  Sums over ``window``
-    lines find where text surges from nothing and where it dives to nothing.
-    With a marked article the text lies between the first surge and the last
-    dive; else it is all stretches from the first to the last that reach
-    ``surge`` characters, or all stretches where none does.  There, lines
-    that hold nothing at all, as nested tags make them, don't count.  Lines in
-    a stretch are kept whole.  Null, empty and text-free pages give "".
+    Each line weighs its text outside links, and nothing where the page marks
+    its article and the line lies outside.  A heading or paragraph of a marked
+    article weighs all its text, as does a marked article of links only.  Sums
+    over ``window`` lines find where text surges from nothing and where it
+    dives to nothing.  The text lies between the first surge and the last dive
+    of those stretches that reach ``surge`` characters, or of all stretches
+    where none does or the article is marked; so link lists before and after
+    the text of an article go and those within it stay.  On unmarked pages
+    lines that hold nothing at all, as nested tags make them, don't count, and
+    what weighs nothing between two stretches is left out.  A stretch begins
+    with its first line of weight, or a heading or paragraph in the window
+    before it; its lines are kept whole.  Null, empty and text-free pages give "".
     """
     lines, marked = page_lines(html or "")
-    if not marked:
+    if marked:
+        lines = [line for line in lines if line.inside]
+    else:
         lines = [line for line in lines if line.dropped or line.text()]
     texts = [line.text() for line in lines]
-    if marked:
-        texts = [t if line.inside else "" for t, line in zip(texts, lines)]
+    weights = _unlinked(lines)
+    if marked and not any(weights):
         weights = [len(t) for t in texts]
-        surge = 1
-    else:
-        weights = _unlinked(lines)
     sums = _sums(weights, window)
     stretches, start = [], None
     for i, total in enumerate([*sums, 0]):
@@ -242,13 +248,11 @@ def main_text(html: str | None, window: int = WINDOW_LINES, surge: int = SURGE_C
         elif not total and start is not None:
             stretches.append((start, i))
             start = None
-    if not stretches:
-        return ""
-    if marked:
-        kept = [(stretches[0][0], stretches[-1][1])]
-    else:
-        dense = [k for k, (a, b) in enumerate(stretches) if max(sums[a:b]) >= surge]
-        kept = stretches[dense[0] : dense[-1] + 1] if dense else stretches
+    dense = [k for k, (a, b) in enumerate(stretches) if marked or max(sums[a:b]) >= surge]
+    kept = stretches[dense[0] : dense[-1] + 1] if dense else stretches
+    if marked and kept:
+        kept = [(kept[0][0], kept[-1][1])]
+    kept = [(next((i for i in range(a, b) if weights[i] or lines[i].prose), b), b) for a, b in kept]
     return "\n".join(t for a, b in kept for t in texts[a:b] if t)
 
 

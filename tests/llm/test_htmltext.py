@@ -1,7 +1,11 @@
 import html
+import itertools
 import re
+import time
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphloom.llm import htmltext
@@ -81,6 +85,41 @@ def test_unmarked_pages_keep_all_sections(page):
     assert got.count("Part") == page.count("Part") and got.count("Short.") == page.count("Short.")
 
 
+LINKS = "<ul>" + "".join(f"<li><a href=x>Story {k}</a>" for k in range(5)) + "</ul>"
+
+
+def test_link_lists_around_an_articles_text_go_and_those_within_stay():
+    page = f"<article>{LINKS}<h1><a href=x>Title</a></h1><p>One.</p>{LINKS}<p><a href=y>Two.</a></p>{LINKS}</article>"
+    inner = [f"Story {k}" for k in range(5)]
+    assert htmltext.main_text(page).split("\n") == ["Title", "One.", *inner, "Two."]
+
+
+def brute_stretches(weights, least):
+    """Lines kept by the rule as it is written: those of stretches from the first to the last dense one."""
+    n = len(weights)
+    sums = [sum(weights[i : i + 3]) for i in range(n)]
+    runs = [list(g) for k, g in itertools.groupby(range(n), key=lambda i: sums[i] > 0) if k]
+    dense = [k for k, run in enumerate(runs) if any(sums[i] >= least for i in run)]
+    chosen = runs[dense[0] : dense[-1] + 1] if dense else runs
+    return [i for run in chosen for i in run]
+
+
+@given(st.lists(st.tuples(st.sampled_from([0, 5, 40, 90]), st.booleans()), max_size=30))
+def test_unmarked_pages_against_the_rule(blocks):
+    """Blocks of plain text, or of links, which weigh nothing."""
+    page = "".join(f"<p>{'x' * n}</p>" if n and not linked else f"<p><a href=x>link {k}</a></p>" for k, (n, linked) in enumerate(blocks))
+    texts = ["x" * n if n and not linked else f"link {k}" for k, (n, linked) in enumerate(blocks)]
+    weights = [n if not linked else 0 for n, linked in blocks]
+    assert htmltext.main_text(page) == "\n".join(texts[i] for i in brute_stretches(weights, 86))
+
+
+def test_stray_end_tags_under_deep_nesting_take_little_time():
+    page = "<div>" * 100_000 + "</b>" * 100_000 + "<p>text</p>"
+    began = time.perf_counter()
+    assert htmltext.main_text(page) == "text"
+    assert time.perf_counter() - began < 20
+
+
 @pytest.mark.parametrize(("page", "want"), PAGES)
 def test_main_text(page, want):
     assert htmltext.main_text(page) == want
