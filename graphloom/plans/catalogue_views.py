@@ -164,13 +164,13 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latency to a fixed time, and places of addresses made of the user's number."""
     address = F.concat(F.element_at(F.array(F.lit("192.168."), F.lit("10.0."), F.lit("8.8.")), (F.col("user_id") % 3 + 1).cast("int")), F.col("user_id").cast("string"), F.lit(".1"))
     stages = transform.pipeline(transform.latency_stage(now=F.lit("2024-02-01 00:00:00").cast("timestamp")), transform.place_stage())
-    return stages(read(spark, sf_dir, "events").withColumn("ip_address", address)).select("event_id", "latency_ms", "place", "network")
+    return stages(read(spark, sf_dir, "events").withColumn("ip_address", address)).select("event_id", "latency_ms", *transform.PLACE_FIELDS)
 
 
 register(
     "enrich_latency_place",
     enriched,
-    "SELECT event_id, epoch_ms(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(ts) // 1000 AS latency_ms, CASE user_id % 3 WHEN 0 THEN 'Local Network' WHEN 1 THEN 'Private Network' ELSE 'Unknown' END AS place, CASE WHEN user_id % 3 < 2 THEN 'private' ELSE 'public' END AS network FROM events",
+    "SELECT event_id, epoch_ms(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(ts) // 1000 AS latency_ms, CASE WHEN user_id % 3 < 2 THEN 'Local' ELSE 'Unknown' END AS geo_country, CASE user_id % 3 WHEN 0 THEN 'Internal' WHEN 1 THEN 'Private' ELSE 'Unknown' END AS geo_region, CASE user_id % 3 WHEN 0 THEN 'Office' WHEN 1 THEN 'Datacenter' ELSE 'Unknown' END AS geo_city, CAST(CASE user_id % 3 WHEN 0 THEN 37.7749 WHEN 1 THEN 40.7128 ELSE 0 END AS DOUBLE) AS geo_latitude, CAST(CASE user_id % 3 WHEN 0 THEN -122.4194 WHEN 1 THEN -74.0060 ELSE 0 END AS DOUBLE) AS geo_longitude FROM events",
 )
 
 

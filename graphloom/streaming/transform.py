@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 Stage = Callable[[DataFrame], DataFrame]
 
-#: Fixed: address prefixes and the places they stand for.
-PLACES = (("192.168.", "Local Network", "private"), ("10.", "Private Network", "private"))
-ELSEWHERE = ("Unknown", "public")
+# Address prefixes and their country, region, city, latitude and longitude; and those of all other addresses.
+PLACES = (
+    ("192.168.", ("Local", "Internal", "Office", 37.7749, -122.4194)),
+    ("10.", ("Local", "Private", "Datacenter", 40.7128, -74.0060)),
+)
+ELSEWHERE = ("Unknown", "Unknown", "Unknown", 0.0, 0.0)
+PLACE_FIELDS = ("geo_country", "geo_region", "geo_city", "geo_latitude", "geo_longitude")
 
 
 @dataclass(frozen=True)
@@ -32,7 +36,7 @@ class Rule:
         column = self.column(df)
         tests: dict[str, Callable[[], Column]] = {
             "equals": lambda: column == F.lit(self.value),
-            "not_equals": lambda: column != F.lit(self.value),
+            "not_equals": lambda: ~column.eqNullSafe(F.lit(self.value)),  # a missing field differs from every value
             "greater_than": lambda: column > F.lit(self.value),
             "less_than": lambda: column < F.lit(self.value),
             "contains": lambda: column.cast("string").contains(self.value),
@@ -99,14 +103,15 @@ def latency_stage(ts: str = "ts", now: Column | None = None) -> Stage:
 
 
 def place_stage(address: str = "ip_address") -> Stage:
-    """Adds ``place`` and ``network`` by the address's prefix; null where there is no address."""
+    """Adds the ``PLACE_FIELDS`` by the address's prefix; null where there is no address."""
 
     def run(df: DataFrame) -> DataFrame:
-        place, network = F.when(F.col(address).isNull(), None), F.when(F.col(address).isNull(), None)
-        for prefix, name, kind in PLACES:
-            place = place.when(F.col(address).startswith(prefix), name)
-            network = network.when(F.col(address).startswith(prefix), kind)
-        return df.withColumn("place", place.otherwise(ELSEWHERE[0])).withColumn("network", network.otherwise(ELSEWHERE[1]))
+        for k, name in enumerate(PLACE_FIELDS):
+            value = F.when(F.col(address).isNull(), None)
+            for prefix, place in PLACES:
+                value = value.when(F.col(address).startswith(prefix), place[k])
+            df = df.withColumn(name, value.otherwise(ELSEWHERE[k]))
+        return df
 
     return run
 

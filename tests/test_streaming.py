@@ -69,7 +69,7 @@ def test_stream_maintains_views(spark):
     [
         (("event_type", "equals", "page_view"), [1, 3]), (("event_type", "not_equals", "page_view"), [0, 2, 4, 5]), (("priority", "greater_than", 30), [4, 5]),
         (("priority", "less_than", 10), [0]), (("event_type", "contains", "user"), [0, 4, 5]), (("event_type", "not_contains", "user"), [1, 2, 3]),
-        (("k", "in", ("1", "2")), [1, 2]), (("k", "not_in", ("1", "2")), [0, 3, 4, 5]), (("source", "exists"), [1, 3, 5]), (("source", "not_exists"), [0, 2, 4]), (("nowhere", "equals", 1), []),
+        (("k", "in", ("1", "2")), [1, 2]), (("k", "not_in", ("1", "2")), [0, 3, 4, 5]), (("source", "exists"), [1, 3, 5]), (("source", "not_exists"), [0, 2, 4]), (("nowhere", "equals", 1), []), (("nowhere", "not_equals", "1"), [0, 1, 2, 3, 4, 5]),
     ],
 )
 def test_rules(events, rule, kept):
@@ -86,7 +86,7 @@ def test_stages(events):
     )
     rows = {r.event_id: r for r in stages(events).collect()}
     assert rows["e5"].priority == 99 and rows["e1"].priority == 10 and rows["e0"].metadata["tag"] == "first"
-    assert rows["e5"].latency_ms == 1000 and rows["e2"].place == "Private Network"
+    assert rows["e5"].latency_ms == 1000 and rows["e2"].geo_city == "Datacenter" and rows["e2"].geo_latitude == 40.7128
 
 
 def test_decoding(spark):
