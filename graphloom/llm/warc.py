@@ -16,8 +16,8 @@ from .byteranges import opened, ranges
 MAGIC = b"\x1f\x8b\x08"
 LEAST_DEDUPLICATED = 1000
 SPLIT_BYTES = 8 << 20
-HEAD_BYTES = 64 << 10
 READ_BYTES = 1 << 20
+CHUNK_BYTES = 16 << 10  # of what is read ahead, so that a member's end is overshot by little
 LEVEL = 6
 CHAIN = 4
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
@@ -90,6 +90,28 @@ def write_archives(pages: DataFrame, path: str, **options) -> None:
     members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
 
 
+class ReadAhead:
+    """A file read in large pieces one after the other; what a small step back needs is still held."""
+
+    def __init__(self, file) -> None:
+        self.file, self.at, self.start, self.held = file, 0, 0, b""
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def read(self, size: int) -> bytes:
+        if not self.start <= self.at <= self.start + len(self.held):
+            self.file.seek(self.at)
+            self.start, self.held = self.at, b""
+        lack = self.at + size - self.start - len(self.held)
+        if lack > 0:
+            self.held = self.held[self.at - self.start :] + self.file.read(max(lack, READ_BYTES))
+            self.start = self.at
+        found = self.held[self.at - self.start : self.at - self.start + size]
+        self.at += len(found)
+        return found
+
+
 def members_in(uri: str, start: int, stop: int, length: int) -> Iterator[tuple[int, bytes]]:
     """Offsets and contents of the WARC members of a file that start in ``[start, stop)``.
 
@@ -99,9 +121,10 @@ def members_in(uri: str, start: int, stop: int, length: int) -> Iterator[tuple[i
     their ends with the right checksums; compressed bytes that look like magic
     fail that, and so do up to that many records stored openly in a payload.
     Members that follow a valid one are read on from its end, not searched for.
+    The file is read ahead in large pieces, each about once.
     """
-    with opened(uri) as file:
-        at, trusted = start, start == 0
+    with opened(uri) as raw:
+        file, at, trusted = ReadAhead(raw), start, start == 0
         while at < stop:
             if not trusted:
                 at = _find_magic(file, at, stop, length)
@@ -150,7 +173,7 @@ def _find_magic(file, at: int, stop: int, length: int) -> int:
 def _head_is_warc(file, at: int, length: int) -> bool:
     """Whether a member whose first bytes are a WARC version line, or an empty one, starts here."""
     file.seek(at)
-    chunk = file.read(min(HEAD_BYTES, length - at))
+    chunk = file.read(min(CHUNK_BYTES, length - at))
     if chunk.startswith(EMPTY_MEMBER):
         return True
     if not chunk.startswith(MAGIC):
@@ -166,7 +189,7 @@ def _inflate(file, at: int, length: int) -> tuple[bytes, int] | None:
     inflater, parts, read = zlib.decompressobj(31), [], 0
     try:
         while not inflater.eof:
-            chunk = file.read(min(READ_BYTES, length - at - read))
+            chunk = file.read(min(CHUNK_BYTES, length - at - read))
             if not chunk:
                 return None
             read += len(chunk)

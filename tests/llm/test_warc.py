@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import os
 
 import pytest
 
@@ -63,3 +64,27 @@ def test_false_magic_is_passed_over(tmp_path):
     for split in (64, 200, len(data)):
         got = [warc.parse_record(d)["fields"]["warc-record-id"] for s in range(0, len(data), split) for _, d in warc.members_in(str(path), s, min(len(data), s + split), len(data))]
         assert got == ["<urn:page:2>", "<urn:page:3>"]
+
+
+class Counted(io.FileIO):
+    read_bytes = 0
+
+    def read(self, size=-1):
+        got = super().read(size)
+        Counted.read_bytes += len(got)
+        return got
+
+
+def test_each_byte_of_a_range_is_read_about_once(tmp_path, monkeypatch):
+    """3,000 small records and some longer than a chunk; one range, and several."""
+    records = [warc.record_bytes(i, "u", hashlib.sha256(b"%d" % i).digest() * (2000 if i % 500 == 0 else 40) + os.urandom(700), "d", None, False) for i in range(3000)]
+    data = b"".join(map(warc.member, records))
+    path = tmp_path / "a"
+    path.write_bytes(data)
+    monkeypatch.setattr(warc, "opened", lambda uri: Counted(uri))
+    for split, most in ((len(data), 1.01), (-(-len(data) // 2), 1.6)):  # a range reads ahead by up to a mebibyte
+        Counted.read_bytes, found = 0, []
+        for start in range(0, len(data), split):
+            found += [d for _, d in warc.members_in(str(path), start, min(len(data), start + split), len(data))]
+        assert found == records
+        assert Counted.read_bytes <= most * len(data), Counted.read_bytes / len(data)
