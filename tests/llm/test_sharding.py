@@ -28,6 +28,51 @@ def test_runs_are_best_fit_decreasing(sizes, bins, capacity):
     assert got == naive_best_fit(sizes, bins, capacity)
 
 
+@given(st.lists(st.integers(0, 30), max_size=80), st.lists(st.integers(0, 40), max_size=80))
+def test_tree_takes_the_least_that_fits(rooms, sizes):
+    tree, left = sharding.Rooms(), []
+    for k, room in enumerate(rooms):
+        tree.put((room, k))
+        left.append((room, k))
+    for size in sizes:
+        want = min((x for x in left if x[0] >= size), default=None)
+        assert tree.take(size) == want
+        if want:
+            left.remove(want)
+
+    def height(node):
+        return 1 + max(height(node.left), height(node.right)) if node else 0
+
+    assert height(tree.root) <= 2 * (len(left) + 1).bit_length()
+
+
+@given(st.lists(st.integers(1, 40), max_size=40), st.integers(1, 60))
+def test_fixed_capacity_opens_few_bins(sizes, capacity):
+    runs = sharding.fixed_capacity(list(collections.Counter(sizes).items()), capacity)
+    loads = collections.Counter()
+    for size, _, count, b in runs:
+        loads[b] += size * count
+    assert sorted(s for s, _, n, _ in runs for _ in range(n)) == sorted(sizes)
+    assert sorted(loads) == list(range(len(loads)))
+    small = [s for s in sizes if s <= capacity]
+    big = len(sizes) - len(small)
+    assert all(loads[b] <= capacity for b in range(big, len(loads)))
+    # known bound of best-fit-decreasing: 11/9 of the least number and a little more
+    assert len(loads) - big <= max(1, 2 * sum(small) // capacity + 1)
+
+
+def test_shards_of_a_capacity(spark):
+    rows = [(i, "z" * (i % 50)) for i in range(400)] + [(1000 + i, "hot copy") for i in range(300)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), capacity=1000).collect()
+    loads, groups = collections.Counter(), collections.defaultdict(set)
+    for r in got:
+        loads[r.shard] += r.size
+        groups[r.text_md5].add(r.shard)
+    assert all(len(s) == 1 for s in groups.values())
+    assert [b for b, n in loads.items() if n > 1000] == [0] and loads[0] == 2700
+    assert len(loads) <= 1 + 1.25 * (sum(loads.values()) - 2700) / 1000 + 1
+
+
 @pytest.mark.parametrize("name", ["odd_docs", "no_docs", "docs"])
 def test_shards(request, name):
     df = request.getfixturevalue(name)
