@@ -77,15 +77,20 @@ def stitch(scanned: DataFrame) -> DataFrame:
     A document's first block gives the tokens after its predecessor, whole
     blocks without separator all of theirs, and its last block those before
     the separator.  What a file holds after its last separator is no document.
+    The prefix scan reads four numbers a block; lengths join its offsets after.
     """
+    kept = saved(scanned, "blocks")
+    slim = kept.select("file", "block", "ends", "tail")
     along = Window.partitionBy("file").orderBy("block")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    own = scanned.withColumn("_docs", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    own = slim.withColumn("_docs", F.coalesce(F.sum("ends").over(before), F.lit(0)))
     # stretches of blocks that begin with one that has a separator: tails add up within them
     stretch = Window.partitionBy("file", "_stretch").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = own.withColumn("_stretch", F.sum(F.when(F.col("ends") > 0, 1).otherwise(0)).over(along))
     own = own.withColumn("_open", F.sum("tail").over(stretch)).withColumn("_carry", F.coalesce(F.lag("_open").over(along), F.lit(0)))
-    each = own.where("ends > 0").select("file", "_docs", "_carry", F.posexplode("lengths").alias("_at", "_length"))
+    places = own.where("ends > 0").select("file", "block", "_docs", "_carry")
+    each = kept.select("file", "block", "lengths").join(places.hint("merge"), ["file", "block"])
+    each = each.select("file", "_docs", "_carry", F.posexplode("lengths").alias("_at", "_length"))
     return each.select("file", (F.col("_docs") + F.col("_at")).alias("ordinal"), (F.col("_length") + F.when(F.col("_at") == 0, F.col("_carry")).otherwise(0)).alias("n_tokens"))
 
 
