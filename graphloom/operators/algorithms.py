@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +49,9 @@ def pagerank(graph: PropertyGraph, damping: float = 0.85, iterations: int = 100,
     links = graph.edges.select("src", "dst")
     links = links.distinct().withColumn("times", F.lit(1)) if simple else links.groupBy("src", "dst").agg(F.count("*").alias("times"))
     out = links.groupBy("src").agg(F.sum("times").alias("out"))
-    # a share for each pair, laid out by source as every round's join needs it
+    # a share for each pair, kept partitioned by source: a round moves scores, not edges
     shares = saved(links.join(out, "src").select("src", "dst", (F.col("times") / F.col("out")).alias("share")), "shares")
+    shares = shares.repartition(_partitions(shares), "src").persist(StorageLevel.MEMORY_AND_DISK)
     base, first = ((1 - damping) / n, 1.0 / n) if normalized else (1 - damping, 1.0)
     scores = ids.withColumn("score", F.lit(first))
     delta, done = tolerance or 0.0, 0
@@ -59,18 +62,55 @@ def pagerank(graph: PropertyGraph, damping: float = 0.85, iterations: int = 100,
             fresh = saved(fresh, "ranks")
             before = scores.withColumnRenamed("score", "before")
             delta = fresh.join(before, "id").agg(F.max(F.abs(F.col("score") - F.col("before")))).first()[0]
-        elif done % KEEP_EVERY == 0 and done < iterations:
+        elif done % KEEP_EVERY == 0 or done == iterations:
             fresh = saved(fresh, "ranks")
         scores = fresh
         if tolerance is not None and delta < tolerance:
             break
+    shares.unpersist()
+    return Ranks(scores, done, delta)
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def eigenvector(graph: PropertyGraph, iterations: int = 100, tolerance: float | None = 1e-6) -> Ranks:
+    """Eigenvector centrality over the listed vertices, by distinct incoming edges between them.
+
+    Power iteration on the edges and the identity, which keeps cycles from
+    swinging; each round's scores have length 1.  Ends when the scores move
+    by less than ``tolerance`` in all; None runs all ``iterations``.
+    """
+    ids = saved(graph.vertices.select("id"), "eigen")
+    n = ids.count()
+    if not n:
+        return Ranks(ids.withColumn("score", F.lit(0.0)), 0, 0.0)
+    inside = graph.edges.select("src", "dst").distinct()
+    for end in ("src", "dst"):
+        inside = inside.join(ids.select(F.col("id").alias(end)), end, "left_semi")
+    links = saved(inside.select("src", "dst"), "eigen")
+    links = links.repartition(_partitions(links), "src").persist(StorageLevel.MEMORY_AND_DISK)
+    scores = ids.withColumn("score", F.lit(1.0 / math.sqrt(n)))
+    delta, done = 0.0, 0
+    for done in range(1, iterations + 1):
+        given = links.join(scores, links["src"] == scores["id"]).groupBy("dst").agg(F.sum("score").alias("given"))
+        raw = saved(scores.join(given, scores["id"] == given["dst"], "left").select("id", F.col("score").alias("before"), (F.col("score") + F.coalesce("given", F.lit(0.0))).alias("raw")), "eigen")
+        norm = math.sqrt(raw.agg(F.sum(F.col("raw") * F.col("raw"))).first()[0])
+        scores = raw.select("id", (F.col("raw") / F.lit(norm)).alias("score"))
+        if tolerance is not None:
+            delta = raw.agg(F.sum(F.abs(F.col("raw") / F.lit(norm) - F.col("before")))).first()[0]
+            if delta < tolerance:
+                break
+    links.unpersist()
     return Ranks(scores, done, delta)
 
 
 def connected_components(graph: PropertyGraph) -> DataFrame:
     """``id, component`` of every known vertex: the least id reachable, direction ignored."""
-    roots = star_roots(graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    return known_ids(graph).join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
+    edges = saved(graph.edges.select("src", "dst").distinct(), "links")
+    roots = star_roots(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return known_ids(PropertyGraph(graph.vertices, edges.withColumn("label", F.lit("")))).join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def component_members(components: DataFrame, component: int) -> DataFrame:
@@ -117,16 +157,26 @@ def shortest_distances(graph: PropertyGraph, start: int, weight: str = "weight",
 
 
 def path_to(distances: DataFrame, start: int, end: int) -> list[int] | None:
-    """The vertices of a least path, by following ``via`` back; None if unreachable."""
+    """The vertices of a least path, by following ``via`` back; None if unreachable.
+
+    Jumps of doubled length take as many rounds as the path's length has bits.
+    """
     if start == end:
         return [start]
-    path = [end]
-    while path[-1] != start:
-        row = distances.where(F.col("id") == path[-1]).first()
-        if row is None or row["via"] is None or row["via"] in path:
-            return None
-        path.append(row["via"])
-    return path[::-1]
+    back = saved(distances.where("via is not null").select("id", "via"), "path")
+    found = back.sparkSession.createDataFrame([(end, 0)], "id long, place long")
+    length, most = 1, back.count()
+    while length <= 2 * most:
+        more = found.join(back, "id").select(F.col("via").alias("id"), (F.col("place") + length).alias("place"))
+        found = saved(found.unionByName(more), "path")
+        reached = found.where(F.col("id") == start).agg(F.min("place")).first()[0]
+        if reached is not None:
+            rows = found.where(F.col("place") <= reached).orderBy(F.desc("place")).collect()
+            return [r["id"] for r in rows]
+        ahead = back.select(F.col("id").alias("via"), F.col("via").alias("next"))
+        back = saved(back.join(ahead, "via").select("id", F.col("next").alias("via")), "path")
+        length *= 2
+    return None
 
 
 def bfs_levels(graph: PropertyGraph, start: int, max_depth: int | None = None) -> DataFrame:
@@ -148,13 +198,31 @@ def bfs_levels(graph: PropertyGraph, start: int, max_depth: int | None = None) -
 def reachability(graph: PropertyGraph, sources: DataFrame | None = None) -> DataFrame:
     """All distinct ``u, v`` with a path of at least one edge from u to v.
 
-    ``sources (id)`` limits u.  Semi-naive: only pairs new in a round are
-    extended.  The result is as large as the closure is.
+    ``sources (id)`` limits u.  Strong components are found first and only
+    pairs of them are closed; members are joined on at the end, so a dense
+    part costs its result and not a join for each round.  The result is as
+    large as the closure is.
     """
     edges = saved(graph.edges.select("src", "dst").distinct(), "closure")
-    fresh = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
     if sources is not None:
-        fresh = fresh.join(sources.select(F.col("id").alias("u")).distinct(), "u", "left_semi")
+        first = edges.join(sources.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+        return _closure(first.select(F.col("src").alias("u"), F.col("dst").alias("v")), edges)
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    member = saved(strongly_connected(PropertyGraph(ids, edges.withColumn("label", F.lit("")))), "closure")
+    ends = [member.select(F.col("id").alias(c), F.col("component").alias(k)) for c, k in (("src", "a"), ("dst", "b"))]
+    links = saved(edges.join(ends[0], "src").join(ends[1], "dst").select("a", "b").distinct(), "closure")
+    between = links.where("a <> b")
+    pairs = _closure(between.select(F.col("a").alias("u"), F.col("b").alias("v")), between.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    pairs = pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(links.where("a = b"))
+    # a large component's members meet in as many tasks as there are salts
+    salts = _partitions(edges)
+    left = pairs.join(ends[0].withColumnRenamed("src", "u"), "a").select("u", "b", F.pmod(F.xxhash64("u"), F.lit(salts)).alias("salt"))
+    right = ends[1].withColumnRenamed("dst", "v").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return left.join(right, ["b", "salt"]).select("u", "v")
+
+
+def _closure(fresh: DataFrame, edges: DataFrame) -> DataFrame:
+    """Semi-naive closure of ``fresh (u, v)`` under ``edges``: only pairs new in a round are extended."""
     known = fresh
     for _ in range(MAX_ROUNDS):
         step = fresh.join(edges, fresh["v"] == edges["src"]).select("u", F.col("dst").alias("v")).distinct()
@@ -236,7 +304,7 @@ def _backward(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def k_core(graph: PropertyGraph, k: int) -> DataFrame:
     """Edges left when vertices with fewer than ``k`` edge ends are dropped again and again."""
-    edges = graph.edges
+    edges = saved(graph.edges, "core")
     size = edges.count()
     while size:
         ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").count().where(F.col("count") >= k).select("id")
@@ -296,3 +364,37 @@ def closeness(graph: PropertyGraph, sources: DataFrame | None = None) -> DataFra
         known = known.unionByName(frontier)
     sums = known.groupBy(F.col("s").alias("id")).agg(F.sum("hops").alias("far"), F.sum(F.when(F.col("hops") > 0, 1).otherwise(0)).alias("n"))
     return sums.select("id", F.when(F.col("far") > 0, F.col("n") / F.col("far")).otherwise(F.lit(0.0)).alias("closeness"))
+
+
+def betweenness(graph: PropertyGraph, sources: DataFrame | None = None) -> DataFrame:
+    """``id, betweenness`` of every known vertex: the share of shortest paths, by fewest edges, that pass through it.
+
+    Ordered pairs of ends count each; a path's ends don't.  ``sources (id)``
+    limits where paths begin.  All sources advance together: a forward round
+    counts the paths to the next level, a backward one hands each vertex's
+    share to those before it.  Rows are (source, vertex) pairs.
+    """
+    ids = saved(known_ids(graph), "between")
+    begin = ids if sources is None else sources.select("id").distinct()
+    edges = saved(graph.edges.where("src <> dst").select("src", "dst").distinct(), "between")
+    level = saved(begin.select(F.col("id").alias("s"), "id").withColumn("paths", F.lit(1.0)), "between")
+    levels, known = [level], level.select("s", "id")
+    for _ in range(MAX_ROUNDS):
+        step = edges.join(level, edges["src"] == level["id"]).groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        level = saved(step.join(known, ["s", "id"], "left_anti"), "between")
+        if level.isEmpty():
+            break
+        levels.append(level)
+        known = known.unionByName(level.select("s", "id"))
+    parts, share = [], None
+    for k in range(len(levels) - 1, 0, -1):
+        far = levels[k].withColumn("share", F.lit(0.0)) if share is None else levels[k].join(share, ["s", "id"], "left").fillna(0.0, ["share"])
+        back = far.select("s", F.col("id").alias("dst"), ((1.0 + F.col("share")) / F.col("paths")).alias("each")).join(edges, "dst")
+        near = levels[k - 1].select("s", F.col("id").alias("src"), "paths")
+        share = saved(back.join(near, ["s", "src"]).groupBy("s", F.col("src").alias("id")).agg(F.sum(F.col("paths") * F.col("each")).alias("share")), "between")
+        if k > 1:  # level 0 holds the sources themselves
+            parts.append(share)
+    total = ids.withColumn("share", F.lit(0.0))
+    for part in parts:
+        total = total.unionByName(part.select("id", "share"))
+    return total.groupBy("id").agg(F.sum("share").alias("betweenness"))

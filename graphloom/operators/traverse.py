@@ -63,7 +63,7 @@ def degrees(graph: PropertyGraph) -> DataFrame:
 
 def most_connected(graph: PropertyGraph) -> DataFrame:
     """All vertices tied for the largest degree."""
-    found = degrees(graph).select("id", "degree")
+    found = saved(degrees(graph).select("id", "degree"), "degrees")
     most = found.agg(F.max("degree").alias("degree"))
     return found.join(F.broadcast(most), "degree", "left_semi").select("id", "degree")
 

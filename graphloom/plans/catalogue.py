@@ -167,8 +167,8 @@ register(
 UNDIRECTED = "u AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e) WHERE a <> b)"
 register(
     "common_neighbors",
-    star(lambda g: V.common_neighbors(PropertyGraph(g.vertices, g.edges_labelled("located_in").unionByName(g.edges_labelled("in_region"))))),
-    f"WITH {STAR_E.replace('e AS (', 'e0 AS (', 1)}, e AS (SELECT * FROM e0 WHERE label IN ('located_in', 'in_region')), {UNDIRECTED} SELECT x.b AS a, y.b AS b, count(*) AS common FROM u x JOIN u y ON x.a = y.a AND x.b < y.b "
+    events(V.common_neighbors),
+    f"WITH {EVENT_E}, {UNDIRECTED} SELECT x.b AS a, y.b AS b, count(*) AS common FROM u x JOIN u y ON x.a = y.a AND x.b < y.b "
     "WHERE NOT EXISTS (SELECT 1 FROM u z WHERE z.a = x.b AND z.b = y.b) GROUP BY 1, 2",
 )
 

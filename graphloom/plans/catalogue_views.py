@@ -13,7 +13,7 @@ from graphloom.streaming import alerts, transform, windows
 from graphloom.streaming.processor import drained
 
 from . import maintenance, sqlviews, views
-from .catalogue import CUSTOMER, EVENT_E, ORDER, STAR_E, register, rounded
+from .catalogue import CUSTOMER, EVENT_E, STAR_E, register, rounded
 
 
 def customers(spark: SparkSession, sf_dir: str) -> PropertyGraph:
@@ -63,10 +63,10 @@ def removed_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     debts = graph.vertices_where(F.col("acctbal") < 0, type="Customer").select(F.col("id"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("src", "long"), ("dst", "long"), ("label", "string"), ("before", "map<string,string>"), ("after", "map<string,string>"))]
     log = debts.select(F.col("id").alias("seq"), F.lit("c").alias("changeset_id"), F.lit("c").alias("source"), F.lit("remove_vertex").alias("op"), "id", *none)
-    return fold(PropertyGraph(graph.vertices, graph.edges_labelled("placed")), log).edges.select("src", "dst")
+    return fold(graph, log).edges.select("src", "dst", "label")
 
 
-register("remove_vertex_cascade", removed_vertices, f"SELECT {CUSTOMER} + o_custkey AS src, {ORDER} + o_orderkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal >= 0")
+register("remove_vertex_cascade", removed_vertices, f"WITH {STAR_E}, g AS (SELECT {CUSTOMER} + c_custkey AS id FROM customer WHERE c_acctbal < 0) SELECT src, dst, label FROM e WHERE src NOT IN (SELECT id FROM g) AND dst NOT IN (SELECT id FROM g)")
 
 
 def delta_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ from .sqlviews import relations
 from .views import VALUE_KEYS, Aggregation, Analytics, Lookup, SqlQuery, View, compute, parts_of
 
 #: Fixed: algorithms that only edges and endpoints decide, but for how many vertices there are.
-BY_TOPOLOGY = {"pagerank", "connectivity", "connected_components", "strongly_connected", "shortest_path", "path_exists", "degree_centrality", "closeness", "triangle_count", "clustering_coefficient", "k_core"}
-COUNTS_VERTICES = {"pagerank", "connectivity", "connected_components", "strongly_connected", "degree_centrality", "closeness", "clustering_coefficient"}
+BY_TOPOLOGY = {"pagerank", "connectivity", "connected_components", "strongly_connected", "shortest_path", "path_exists", "degree_centrality", "closeness", "betweenness", "eigenvector", "triangle_count", "clustering_coefficient", "k_core", "all_paths"}
+COUNTS_VERTICES = {"pagerank", "connectivity", "connected_components", "strongly_connected", "degree_centrality", "closeness", "betweenness", "eigenvector", "clustering_coefficient"}
 
 
 class Dependencies:

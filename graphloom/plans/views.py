@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.predicates import NUMBERS, QueryError
 from graphloom.model import PropertyGraph
-from graphloom.operators import algorithms, traverse
+from graphloom.operators import algorithms, shapes, traverse
 
 from . import sqlviews
 
@@ -24,7 +24,7 @@ VALUE_KEYS = ("value", "amount", "count", "score", "weight")
 AGGREGATES = ("count", "sum", "avg", "average", "min", "max")
 ANALYTICS = (
     "pagerank", "connectivity", "connected_components", "strongly_connected", "shortest_path", "path_exists", "degree_centrality",
-    "closeness", "triangle_count", "clustering_coefficient", "k_core",
+    "closeness", "betweenness", "eigenvector", "triangle_count", "clustering_coefficient", "k_core", "all_paths",
 )
 
 
@@ -167,6 +167,12 @@ def analytics(graph: PropertyGraph, view: Analytics) -> DataFrame:
         return algorithms.degree_centrality(whole)
     if name == "closeness":
         return algorithms.closeness(whole)
+    if name == "betweenness":
+        return algorithms.betweenness(graph)
+    if name == "eigenvector":
+        return algorithms.eigenvector(whole, given.get("iterations", 100), given.get("tolerance", 1e-6)).scores
+    if name == "all_paths":
+        return shapes.all_paths(graph, given["source"], given["target"], given.get("max_depth", 5))
     if name == "triangle_count":
         return algorithms.triangles(graph).agg(F.count("*").alias("value"))
     if name == "clustering_coefficient":

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import algorithms as A
+from graphloom.operators import shapes as S
 from graphloom.operators import traverse as V
 from graphloom.operators.ranked import running_rank
 from tests.graphs import WEB, graph, people, plain
@@ -121,3 +122,69 @@ def test_running_rank_over_partitions(spark, monkeypatch):
     monkeypatch.setattr("graphloom.operators.ranked.PARTITION_ROWS", 10)
     rows = running_rank(spark.range(95).withColumn("k", F.xxhash64("id")), [F.col("k")]).collect()
     assert [r["rank"] for r in sorted(rows, key=lambda r: r["k"])] == list(range(95))
+
+
+def test_betweenness_and_eigenvector_against_loops(spark):
+    rng = random.Random(5)
+    edges = sorted({(rng.randrange(12), rng.randrange(12)) for _ in range(26)} | {(0, 1), (1, 2)})
+    near = collections.defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+    ids_ = sorted({x for e in edges for x in e})
+    hops, paths = {}, {}
+    for s in ids_:
+        hops[s], paths[s], todo = {s: 0}, collections.Counter({s: 1}), [s]
+        for v in todo:
+            for w in near[v]:
+                if w not in hops[s]:
+                    hops[s][w] = hops[s][v] + 1
+                    todo.append(w)
+                if hops[s][w] == hops[s][v] + 1:
+                    paths[s][w] += paths[s][v]
+    want = dict.fromkeys(ids_, 0.0)
+    for s in ids_:
+        for t in hops[s]:
+            for v in hops[s]:
+                if v not in (s, t) and s != t and t in hops[v] and hops[s][v] + hops[v][t] == hops[s][t]:
+                    want[v] += paths[s][v] * paths[v][t] / paths[s][t]
+    g = plain(spark, edges)
+    assert {r.id: r.betweenness for r in A.betweenness(g).collect()} == pytest.approx(want)
+    score = dict.fromkeys(ids_, 1.0)
+    for _ in range(30):
+        score = {v: score[v] + sum(score[a] for a, b in edges if b == v) for v in ids_}
+        length = sum(x * x for x in score.values()) ** 0.5
+        score = {v: x / length for v, x in score.items()}
+    got = A.eigenvector(g, iterations=30, tolerance=None)
+    assert {r.id: r.score for r in got.scores.collect()} == pytest.approx(score)
+    assert A.eigenvector(g, tolerance=1e-3).iterations < 100
+
+
+def test_shapes(spark):
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 1), (1, 3), (5, 5), (6, 7), (7, 6)]
+    g = plain(spark, edges, extra=[9])
+
+    def walks(length):
+        out = [[a, b] for a, b in edges if a != b]
+        for _ in range(length - 1):
+            out = [[*p, b] for p in out for a, b in edges if a == p[-1] and b not in p]
+        return sorted(out)
+
+    assert sorted(r.path for r in S.simple_paths(g, 3).collect()) == walks(3)
+    assert sorted(r.path for r in S.simple_paths(g, 2, spark.createDataFrame([(3,)], "id long")).collect()) == [p for p in walks(2) if p[0] == 3]
+    for length in (2, 3, 4):
+        want = sorted(p for p in walks(length - 1) if (p[-1], p[0]) in edges and min(p) == p[0])
+        assert sorted(r.cycle for r in S.cycles(g, length).collect()) == want and (want or length == 5)
+    assert [r.cycle for r in S.cycles(g, 1).collect()] == [[5]]
+    assert sorted((r.path, r.hops) for r in S.all_paths(g, 1, 4, 3).collect()) == [([1, 2, 3, 4], 3), ([1, 3, 4], 2)]
+    assert [r.path for r in S.all_paths(g, 1, 1, 3).collect()] == [[1]]
+    assert {r.id: r.arms for r in S.stars(g, 3).collect()} == {1: 3, 3: 3}
+    assert {r.component: r.members for r in S.communities(g, 2).collect()} == {1: 4, 6: 2}
+
+
+def test_long_path_by_doubling(spark):
+    g = plain(spark, [(k, k + 1) for k in range(21)])
+    found = A.shortest_distances(g, 0)
+    for end in (1, 2, 7, 8, 21):
+        assert A.path_to(found, 0, end) == list(range(end + 1))
+    assert A.path_to(found, 0, 99) is None

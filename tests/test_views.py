@@ -201,3 +201,17 @@ def test_store(spark):
     for k in range(2):
         again.commit(again.begin().add_vertex(10 + k))
     assert again.version() == 11 and again.graph().vertices.count() == 5
+
+
+def test_store_after_a_dead_writer(spark):
+    store = GraphStore(spark, new_dir(spark, "store"), VERTICES, EDGES)
+    store.commit(store.begin().add_vertex(1))
+    target, fs = store._hadoop(f"{store.path}/commits/{1:020d}")
+    fs.create(target, False).close()  # created, never filled
+    assert store.version() == 1 and store.graph().vertices.count() == 1
+    with pytest.raises(Conflict):
+        store.commit(store.begin().add_vertex(2))
+    fs.setTimes(target, 1_000_000, -1)
+    assert store.commit(store.begin().add_vertex(2)) == 2
+    assert store.version() == 2 and store.graph().vertices.count() == 2 and store.graph(1).vertices.count() == 1
+    assert store.changes(1).count() == 1
