@@ -6,18 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def opened(uri: str):
-    """A seekable file; a URI without scheme is a local path."""
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme: without one it lies on the cluster's default file system, not on each machine's disk."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(target).toString()
+
+
+def _located(uri: str):
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), uri
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    # the same store under the name that Arrow knows it by
+    return fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else uri)
+
+
+def opened(uri: str):
+    """A seekable file at a URI as :func:`qualified` makes it; a plain path is this machine's."""
+    system, path = _located(uri)
     return system.open_input_file(path)
 
 
 def created(uri: str):
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    system, path = _located(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     return system.open_output_stream(path)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byteranges import created, opened
+from .byteranges import created, opened, qualified
 from .storage import saved
 from .tokens import encoder, vocabulary_paths
 
@@ -26,7 +26,7 @@ def write_flat(docs: DataFrame, path: str, paths: tuple[str, str] | None = None,
     the first try's file unread.  Returns ``file, ordinal, key``: which
     documents a file holds, in order, without their places.
     """
-    paths = paths or vocabulary_paths()
+    paths, path = paths or vocabulary_paths(), qualified(docs.sparkSession, path)
     kind = docs.schema[key].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

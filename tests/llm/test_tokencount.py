@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from graphloom.llm import tokencount
+from graphloom.llm import byteranges, tokencount
 from graphloom.llm.storage import new_dir
 from graphloom.llm.tokens import vocabulary_paths
 
@@ -27,3 +27,12 @@ def test_stitching_over_blocks(spark, tmp_path, block):
     blocks = tokencount.file_blocks(spark.createDataFrame([(str(path),)], "file string"), block)
     got = tokencount.stitch(tokencount.scan_blocks(blocks)).orderBy("ordinal").collect()
     assert [(r.ordinal, r.n_tokens) for r in got] == list(enumerate(lengths))
+
+
+def test_paths_without_a_scheme_get_the_default_file_system(spark, tmp_path):
+    name = byteranges.qualified(spark, str(tmp_path / "a" / "b c.tokens"))
+    assert name.startswith("file:/")
+    with byteranges.created(name) as file:
+        file.write(b"xyz")
+    with byteranges.opened(name) as file:
+        assert file.read() == b"xyz"
