@@ -138,11 +138,12 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFram
 
     Keeps the columns of ``docs``, whatever their names.  Rows with one key
     (null keys are one) can't be told apart: each comes as often as the mix
-    takes them on average, rounded.
+    takes them on average, rounded.  Documents without words (null or empty
+    texts) are not taken; an empty table gives no rows.
     """
     taken = words_taken(fair_queue(docs, key=key, **options), key)
     copies, copy, own = (free_name(docs, n) for n in ("_copies", "_copy", "_own"))
-    times = F.when(F.count("*") == 1, F.ceil(F.sum("taken") / F.sum("size"))).otherwise(F.round(F.try_divide(F.sum("taken"), F.sum("size"))))
+    times = F.when(F.count("*") == 1, F.ceil(F.try_divide(F.sum("taken"), F.sum("size")))).otherwise(F.round(F.try_divide(F.sum("taken"), F.sum("size"))))
     counted = taken.groupBy(F.col(key).alias(own)).agg(times.cast("int").alias(copies)).where(F.col(copies) > 0)
     kept = docs.join(counted, docs[key].eqNullSafe(counted[own]))
     return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(docs[c] for c in docs.columns))

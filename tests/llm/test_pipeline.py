@@ -1,6 +1,7 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphloom.llm import mixing, rules
@@ -67,3 +68,20 @@ def test_packing_covers_all_tokens(stages):
     for r in pieces:
         loads[r.sequence_id] += r.length
     assert max(loads.values()) <= 2048
+
+
+NAMES = ["_copies", "_copy", "_own", "kept", "evidence", "_n", "_host", "size", "shard", "fingerprint", "_key", "_position", "words", "n_words", "base_failed", "component_id"]
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_with_clashing_names_and_without_rows(spark, sf_dir, odd_docs, no_docs, at):
+    name, stage = corpus_pipeline.STAGES[at]
+    plain = odd_docs.where("text is null or length(text) < 5000")
+    named = plain.select("*", *(F.lit(k).alias(n) for k, n in enumerate(NAMES)))
+    made = stage(spark, named, sf_dir)
+    assert at == 4 or made.columns == named.columns
+    ids = lambda df: sorted(str(r.doc_id) for r in df.select("doc_id").collect())
+    assert ids(made) == ids(stage(spark, plain, sf_dir))
+    if at < 4:
+        assert all([r[n] for n in NAMES] == list(range(len(NAMES))) for r in made.collect())
+    assert stage(spark, no_docs, sf_dir).collect() == []
