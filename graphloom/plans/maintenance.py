@@ -194,8 +194,13 @@ class Engine:
 
     def _fold(self, changes: DataFrame) -> list[Update]:
         before = self.graph
-        after = fold(before, changes)
-        self.graph = PropertyGraph(saved(after.vertices, "graph"), saved(after.edges, "graph"))
+        ops = {r["op"] for r in changes.select("op").distinct().collect()}  # at most six
+        after = fold(before, changes, ops)
+        # a table that no change touches is not written again
+        self.graph = PropertyGraph(
+            after.vertices if after.vertices is before.vertices else saved(after.vertices, "graph"),
+            after.edges if after.edges is before.edges else saved(after.edges, "graph"),
+        )
         counts: dict[str, int] = {}
         for name, view in self.views.items():
             counts[name] = sum(relevant(p, changes).count() for p in parts_of(view.kind))

@@ -28,21 +28,35 @@ def typed(after: Column, df: DataFrame, skip: tuple[str, ...]) -> list[Column]:
     return [F.try_element_at(after, F.lit(f.name)).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in skip]
 
 
-def fold(graph: PropertyGraph, changes: DataFrame) -> PropertyGraph:
+def fold(graph: PropertyGraph, changes: DataFrame, ops: set[str] | None = None) -> PropertyGraph:
     """The graph after all changes, in the order of ``seq``.
 
+    ``ops``, where known, names the operations that occur: a table that none
+    of them touches is passed through, and edges' histories are only read if
+    some edge has one.
+
     Adding a vertex or an edge again replaces its properties.  Removing a
     vertex removes its edges at that moment; later edges stay.  Updating a
     vertex that is not there adds it, updating such an edge does nothing.
     """
+    ops = {*VERTEX_OPS, *EDGE_OPS} if ops is None else ops
+    vertices = _fold_vertices(graph, changes) if ops & set(VERTEX_OPS) else graph.vertices
+    if ops & set(EDGE_OPS):
+        return PropertyGraph(vertices, _fold_edges(graph, changes))
+    if REMOVE_VERTEX not in ops:
+        return PropertyGraph(vertices, graph.edges)
+    edges, gone = graph.edges, changes.where(F.col("op") == REMOVE_VERTEX).select("id").distinct()
+    for end in ("src", "dst"):
+        edges = edges.join(gone.withColumnRenamed("id", end), end, "left_anti")
+    return PropertyGraph(vertices, edges.select(*graph.edges.columns))
+
+
+def _fold_vertices(graph: PropertyGraph, changes: DataFrame) -> DataFrame:
     columns = graph.vertices.columns
     last = latest(changes.where(F.col("op").isin(*VERTEX_OPS)).select("seq", "op", "id", "before", "after"), "id")
     kept = graph.vertices.join(last.select("id"), "id", "left_anti").select(*columns)
     put = last.where(F.col("op") != REMOVE_VERTEX).select("id", *typed(F.col("after"), graph.vertices, ("id",)))
-    vertices = kept.unionByName(put.select(*columns))
-
-    edges = _fold_edges(graph, changes)
-    return PropertyGraph(vertices, edges)
+    return kept.unionByName(put.select(*columns))
 
 
 def _fold_edges(graph: PropertyGraph, changes: DataFrame) -> DataFrame:
