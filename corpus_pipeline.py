@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import jaccard, mixing, packing, rules, sitebayes
-from graphloom.llm.storage import saved
+from graphloom.llm.storage import GROUP_BYTES, saved
 from graphloom.llm.textmodel import TextModel
 
 #: Mixing shuffles by hash order and packing cuts by token ids: SQL can't express them.
 ORACLE_SQL = None
 
 
+def _small_groups(spark: SparkSession) -> None:
+    """Whoever keeps a stage's rows as Parquet writes groups that the next stage's tasks can all hold at once; a set size stays."""
+    if spark.conf.get("parquet.block.size", None) is None:
+        spark.conf.set("parquet.block.size", str(GROUP_BYTES))
+
+
 def _model(spark: SparkSession, sf_dir: str) -> TextModel:
     """Fitted on the labelled documents as they came, junk included."""
     return rules.quality_model(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -19,27 +25,32 @@ def _model(spark: SparkSession, sf_dir: str) -> TextModel:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the n-gram model."""
+    _small_groups(spark)
     judged = rules.judge(docs, _model(spark, sf_dir))
     return judged.where(judged[judged.columns[-1]]).select(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text and site make good quality likely."""
+    _small_groups(spark)
     return sitebayes.kept_documents(docs, _model(spark, sf_dir))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that pairs of similarity 0.8 or more link, over shingles of five words."""
+    _small_groups(spark)
     return jaccard.one_of_each(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
+    _small_groups(spark)
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens in windows."""
+    _small_groups(spark)
     return packing.packed_documents(docs, digest=True)
 
 

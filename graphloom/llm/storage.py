@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from graphloom.sources.shared import discard, new_dir, saved, shared_dir
+from graphloom.sources.shared import GROUP_BYTES, discard, new_dir, saved, shared_dir
 
-__all__ = ["discard", "free_name", "new_dir", "saved", "shared_dir"]
+__all__ = ["GROUP_BYTES", "discard", "free_name", "new_dir", "saved", "shared_dir"]
 
 
 def free_name(df: DataFrame, name: str) -> str:

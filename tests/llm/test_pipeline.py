@@ -1,5 +1,6 @@
 import collections
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,13 @@ def test_stages_with_clashing_names_and_without_rows(spark, sf_dir, odd_docs, no
     if at < 4:
         assert all([r[n] for n in NAMES] == list(range(len(NAMES))) for r in made.collect())
     assert stage(spark, no_docs, sf_dir).collect() == []
+
+
+def test_kept_rows_come_in_small_groups(spark, sf_dir, tmp_path):
+    big = spark.range(0, 5_000_000, 1, 1).selectExpr("id", "xxhash64(id) AS x")
+    path = saved(big, "groups")._kept_path.removeprefix("file:")
+    corpus_pipeline.quality_classifier(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    big.write.parquet(str(tmp_path / "stage"))  # as a caller would keep a stage's rows
+    for folder in (path, str(tmp_path / "stage")):
+        found = [f.metadata for f in map(pq.ParquetFile, pq.ParquetDataset(folder).files)]
+        assert max(m.row_group(k).total_byte_size for m in found for k in range(m.num_row_groups)) < 40 << 20
