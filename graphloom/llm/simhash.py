@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import star_roots
 
-from .hammingtrie import SEGMENTS, WHOLE, Shape, forest, prefix_budgets
+from .hammingtrie import SEGMENTS, WHOLE, Shape, forest, merge, prefix_budgets
 from .storage import free_name, saved
 
 SHINGLE_WORDS = 4
@@ -166,8 +166,12 @@ def _linked(held: list[pa.RecordBatch], shape: Shape, errors: int, most: int) ->
     first = cells[starts[:-1]]
     crossed = ((first >> 16) & 0xFFFF) != (first & 0xFFFF)
     label = forest(bits, starts, errors, shape, split[order][starts[:-1]].astype(np.int64), crossed, marks, most)
-    member = np.flatnonzero(label != np.arange(len(label)))
-    return pa.RecordBatch.from_arrays([pa.array(own[label[member]]), pa.array(own[member])], names=["a", "b"])
+    # one forest over all blocks at hand, by ids: its stars stand on the least id, so that other batches give the same links again
+    ids, at = np.unique(own, return_inverse=True)
+    home = np.arange(len(ids))
+    merge(home, at, at[label])
+    member = np.flatnonzero(home != np.arange(len(ids)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[home[member]]), pa.array(ids[member])], names=["a", "b"])
 
 
 def simhash_components(docs: DataFrame, errors: int = ERRORS, key: str = "doc_id", words: int = SHINGLE_WORDS) -> DataFrame:

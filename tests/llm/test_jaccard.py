@@ -93,3 +93,10 @@ def test_windows_find_pairs_at_the_threshold():
                 apart = np.bitwise_count(x ^ y).astype(int)
                 found += (apart[:80].reshape(16, 5).sum(axis=1) <= 4).any() and apart[80:].sum() <= jaccard.MOST_MARK_BITS
             assert found >= least * tries, (n, similarity, found)
+
+
+def test_a_group_of_near_copies_gives_few_candidate_links(spark):
+    docs = edited_docs(spark, 7, 1, 400)
+    one = jaccard.set_table(docs, "doc_id", 5).select("sid", "wide").dropDuplicates(["sid"])
+    ties = jaccard.trie_links(jaccard.window_turns(one), jaccard.window_sizes(one), jaccard.WINDOW, jaccard.WINDOW_ERRORS, jaccard.MOST_MARK_BITS)
+    assert len({frozenset(r) for r in ties.collect()}) < 4 * one.count()
