@@ -17,6 +17,7 @@ from .traverse import degrees, known_ids, undirected
 
 KEEP_EVERY = 5
 MAX_ROUNDS = 10_000
+SAME_COST = 1e-9
 
 
 @dataclass
@@ -126,7 +127,8 @@ def shortest_distances(graph: PropertyGraph, start: int, weight: str = "weight",
 
     A missing weight counts as 1; negative ones are refused.  Rounds relax the
     vertices that became nearer, until none does or none is nearer than
-    ``target``.  Of equal paths ``via`` is the least.
+    ``target``.  Of paths equal within ``SAME_COST`` (sums differ in their last
+    bits by the order of their edges) ``via`` is the least.
     """
     spark = graph.edges.sparkSession
     cost = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight in graph.edges.columns else F.lit(1.0)
@@ -149,9 +151,9 @@ def shortest_distances(graph: PropertyGraph, start: int, weight: str = "weight",
         known = kept.select("id", "distance", "via")
         if frontier.isEmpty():
             break
-    # equal paths: the least predecessor that attains the distance
+    # equal paths: the least predecessor that attains the distance, but for rounding
     ends = known.select(F.col("id").alias("dst"), F.col("distance").alias("total"))
-    tied = edges.join(known.select(F.col("id").alias("src"), "distance"), "src").join(ends, "dst").where("distance + cost = total").where(F.col("dst") != start)
+    tied = edges.join(known.select(F.col("id").alias("src"), "distance"), "src").join(ends, "dst").where(F.abs(F.col("distance") + F.col("cost") - F.col("total")) < SAME_COST).where(F.col("dst") != start)
     via = tied.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("via"))
     return known.select("id", "distance").join(via, "id", "left")
 

@@ -188,3 +188,9 @@ def test_long_path_by_doubling(spark):
     for end in (1, 2, 7, 8, 21):
         assert A.path_to(found, 0, end) == list(range(end + 1))
     assert A.path_to(found, 0, 99) is None
+
+
+def test_paths_equal_but_for_rounding_take_the_least_predecessor(spark):
+    rows = [(1, 2, "a", 0.1), (2, 4, "a", 0.2), (1, 3, "a", 0.15), (3, 4, "a", 0.15)]  # 0.1 + 0.2 > 0.15 + 0.15 in doubles
+    g = graph(spark, [(i,) for i in range(1, 5)], "id long", rows, "src long, dst long, label string, weight double")
+    assert {r.id: r.via for r in A.shortest_distances(g, 1).collect()} == {1: None, 2: 1, 3: 1, 4: 2}
