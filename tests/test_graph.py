@@ -194,3 +194,44 @@ def test_paths_equal_but_for_rounding_take_the_least_predecessor(spark):
     rows = [(1, 2, "a", 0.1), (2, 4, "a", 0.2), (1, 3, "a", 0.15), (3, 4, "a", 0.15)]  # 0.1 + 0.2 > 0.15 + 0.15 in doubles
     g = graph(spark, [(i,) for i in range(1, 5)], "id long", rows, "src long, dst long, label string, weight double")
     assert {r.id: r.via for r in A.shortest_distances(g, 1).collect()} == {1: None, 2: 1, 3: 1, 4: 2}
+
+
+@pytest.mark.parametrize("most", [8_000_000, 0])
+def test_sweeps_and_joins_agree_with_a_loop(spark, monkeypatch, most):
+    rng = random.Random(11)
+    edges = sorted({(rng.randrange(150), rng.randrange(150)) for _ in range(260)})
+    g = plain(spark, edges, extra=[-7, 999])
+    monkeypatch.setattr("graphloom.operators.sweeps.MOST_EDGES", most)
+    near = collections.defaultdict(list)
+    for a, b in edges:
+        near[a].append(b)
+    want, between = {}, collections.Counter()
+    for s in sorted({x for e in edges for x in e} | {-7, 999}):
+        hops, paths, todo = {s: 0}, collections.Counter({s: 1}), [s]
+        for v in todo:
+            for w in near[v]:
+                if w not in hops:
+                    hops[w] = hops[v] + 1
+                    todo.append(w)
+                if hops[w] == hops[v] + 1:
+                    paths[w] += paths[v]
+        want[s] = (len(hops) - 1) / sum(hops.values()) if sum(hops.values()) else 0.0
+        share = collections.Counter()
+        for w in reversed(todo):
+            for v in hops:
+                if w in near[v] and hops[w] == hops[v] + 1:
+                    share[v] += paths[v] / paths[w] * (1 + share[w])
+            if w != s:
+                between[w] += share[w]
+    assert {r.id: r.closeness for r in A.closeness(g).collect()} == pytest.approx(want)
+    got = {r.id: r.betweenness for r in A.betweenness(g).collect()}
+    assert got == pytest.approx({v: between[v] for v in want})
+    few = spark.createDataFrame([(edges[0][0],), (999,), (5000,)], "id long")
+    assert {r.id for r in A.closeness(g, few).collect()} == {edges[0][0], 999, 5000}
+
+
+def test_centralities_of_many_pairs_take_no_join_of_them(spark):
+    g = plain(spark, sorted({(a, (a * 7 + k) % 400) for a in range(400) for k in range(5)}))
+    for found in (A.closeness(g), A.betweenness(g)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan
