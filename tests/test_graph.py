@@ -235,3 +235,11 @@ def test_centralities_of_many_pairs_take_no_join_of_them(spark):
     for found in (A.closeness(g), A.betweenness(g)):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "Join" not in plan
+
+
+def test_reachability_does_not_broadcast_its_salted_members(spark):
+    found = A.reachability(plain(spark, [(1, 2), (2, 1), (2, 3)]))
+    assert {tuple(r) for r in found.collect()} == {(u, v) for u in (1, 2) for v in (1, 2, 3)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    last = [line for line in plan.splitlines() if "salt" in line and "Join" in line]
+    assert last and not any("Broadcast" in line for line in last)
