@@ -16,8 +16,9 @@ from graphloom.operators.components import star_roots
 from .images import BITS, consensus, decode, descriptors, mutual_matches
 from .storage import saved
 
-ENTRY_BYTES = 7
-TABLE_BYTES = [[(7 * t + k) % 32 for k in range(ENTRY_BYTES)] for t in range(4)] + [[(5 * k + 8 * t) % 32 for k in range(ENTRY_BYTES)] for t in range(4)]
+ENTRY_BYTES = 6
+#: Of the twelve bytes of the most telling tests, four halves and the halves that they leave; any other two share three bytes.
+TABLE_BYTES = [sorted({(q + t) % 11 for q in (1, 3, 4, 5, 9)} | {11}) for t in range(4)] + [sorted((q + t) % 11 for q in (0, 2, 6, 7, 8, 10)) for t in range(4)]
 TABLES_AT_ONCE = 4
 LEAST_AGREEMENT = 4
 LEAST_SHARED = 2
@@ -49,12 +50,12 @@ def local_features(media: DataFrame, key: str = "media_id", image: str = "image"
 
 
 def table_entries(features: DataFrame, tables: range) -> DataFrame:
-    """``entry, id``: 56 bits of each corner as its entry in each of the Hamming ``tables``.
+    """``entry, id``: 48 bits of each corner as its entry in each of the Hamming ``tables``.
 
     Two descriptors that differ in few bits share an entry of some table, and
     a copy shares many corners, so it is found at larger distances as well.
-    Neighbouring tests are alike, so entries must be this long for unlike
-    images to share few.
+    Tests that are alike or have one answer mostly would make unlike images
+    share entries, so the entries hold only the most telling ones.
     """
     places = np.array([TABLE_BYTES[t] for t in tables])
     marks = np.array(tables, np.uint8)
@@ -65,7 +66,7 @@ def table_entries(features: DataFrame, tables: range) -> DataFrame:
                 tests = np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8)[:, places]
                 entries = np.zeros((*tests.shape[:2], 8), np.uint8)
                 entries[:, :, 0] = marks
-                entries[:, :, 1:] = tests
+                entries[:, :, 1 : 1 + ENTRY_BYTES] = tests
                 found = np.unique(entries.view(">i8").astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), own, np.int64))], names=["entry", "id"])
 

@@ -168,3 +168,14 @@ def test_copies_of_all_vectors(spark, sf_dir):
     edited = [i for i in got if i % 2]
     assert len(edited) == 100 and np.mean([got[i] == got[i - 1] for i in edited]) >= 0.9
     assert np.mean([got[i] == i for i in got if i % 2 == 0]) >= 0.98
+
+
+def test_unlike_copies_share_few_entries():
+    """Edges of bars and of turned canvases look alike in unlike pictures, but hardly ever twice by their entries."""
+    seen = []
+    for k in range(120):
+        copy = renders.edited(picture_of(2000 + k, True), ("bar", "turn")[k % 2], np.random.default_rng(k))
+        seen.append(entries(images.descriptors(copy)[1]))
+    shared = [len(x & y) for x, y in itertools.combinations(seen, 2)]
+    assert sum(n >= 2 for n in shared) <= 20 and sum(shared) <= 500
+    assert all(len(places) == mediacopies.ENTRY_BYTES and max(places) < images.TELLING_BYTES for places in mediacopies.TABLE_BYTES)
