@@ -12,10 +12,16 @@ from graphloom.llm.textmodel import TextModel
 ORACLE_SQL = None
 
 
-def _small_groups(spark: SparkSession) -> None:
-    """Whoever keeps a stage's rows as Parquet writes groups that the next stage's tasks can all hold at once; a set size stays."""
-    if spark.conf.get("parquet.block.size", None) is None:
-        spark.conf.set("parquet.block.size", str(GROUP_BYTES))
+#: Rows that a task decodes from Parquet at once: of whole texts, Spark's 4,096 take some 30 MB in each task, and more where texts are long.
+BATCH_ROWS = 256
+
+
+def _small_reads(spark: SparkSession) -> None:
+    """Readers decode few rows at once, and whoever keeps a stage's rows as Parquet writes groups that the next stage's tasks can all hold; a set size stays."""
+    known = spark.conf.getAll
+    for name, size in (("parquet.block.size", GROUP_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS)):
+        if name not in known:
+            spark.conf.set(name, str(size))
 
 
 def _model(spark: SparkSession, sf_dir: str) -> TextModel:
@@ -25,32 +31,32 @@ def _model(spark: SparkSession, sf_dir: str) -> TextModel:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the n-gram model."""
-    _small_groups(spark)
+    _small_reads(spark)
     judged = rules.judge(docs, _model(spark, sf_dir))
     return judged.where(judged[judged.columns[-1]]).select(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text and site make good quality likely."""
-    _small_groups(spark)
+    _small_reads(spark)
     return sitebayes.kept_documents(docs, _model(spark, sf_dir))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that pairs of similarity 0.8 or more link, over shingles of five words."""
-    _small_groups(spark)
+    _small_reads(spark)
     return jaccard.one_of_each(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
-    _small_groups(spark)
+    _small_reads(spark)
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens in windows."""
-    _small_groups(spark)
+    _small_reads(spark)
     return packing.packed_documents(docs, digest=True)
 
 

@@ -96,3 +96,17 @@ def test_kept_rows_come_in_small_groups(spark, sf_dir, tmp_path):
     for folder in (path, str(tmp_path / "stage")):
         found = [f.metadata for f in map(pq.ParquetFile, pq.ParquetDataset(folder).files)]
         assert max(m.row_group(k).total_byte_size for m in found for k in range(m.num_row_groups)) < 40 << 20
+
+
+def test_stages_decode_few_rows_at_once(spark, sf_dir, no_docs):
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(name)
+            stage(spark, no_docs, sf_dir)
+            assert int(spark.conf.get(name)) == corpus_pipeline.BATCH_ROWS
+        spark.conf.set(name, "99")
+        corpus_pipeline.quality_rules(spark, no_docs, sf_dir)
+        assert spark.conf.get(name) == "99"
+    finally:
+        spark.conf.unset(name)
