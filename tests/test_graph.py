@@ -1,9 +1,11 @@
 import collections
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.model import PropertyGraph
 from graphloom.operators import algorithms as A
 from graphloom.operators import shapes as S
 from graphloom.operators import traverse as V
@@ -237,6 +239,47 @@ def test_centralities_of_many_pairs_take_no_join_of_them(spark):
         assert "MapInArrow" in plan and "Join" not in plan
 
 
+def test_betweenness_takes_no_sweep_for_each_vertex_of_a_way(spark):
+    n, began = 6000, time.monotonic()
+    way = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit("link").alias("label"))
+    got = {r.id: r.betweenness for r in A.betweenness(PropertyGraph.of(spark.range(n), way)).collect()}
+    assert got == {k: k * (n - 1 - k) for k in range(n)}
+    assert time.monotonic() - began < 60  # a sweep from each vertex takes minutes
+
+
+def _shares(edges, sources):
+    """Brandes' recursion, a source after another."""
+    near, between = collections.defaultdict(set), collections.Counter()
+    for a, b in edges:
+        near[a].add(b)
+    for s in sources:
+        hops, paths, todo, share = {s: 0}, collections.Counter({s: 1}), [s], collections.Counter()
+        for v in todo:
+            for w in near[v]:
+                if w not in hops:
+                    hops[w] = hops[v] + 1
+                    todo.append(w)
+                if hops[w] == hops[v] + 1:
+                    paths[w] += paths[v]
+        for v in reversed(todo):
+            share[v] = sum(paths[v] / paths[w] * (1 + share[w]) for w in near[v] if hops[w] == hops[v] + 1)
+            between[v] += share[v] if v != s else 0
+    return between
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_betweenness_of_ways_and_rings_agrees_with_a_loop(spark, seed):
+    rng = random.Random(seed)
+    edges = {(k, k + 1) for k in range(0, 40) if k % 9} | {(27, 20), (100, 101), (101, 102), (102, 100), (103, 101), (104, 103), (110, 111), (111, 110)}
+    edges |= {(rng.choice((9, 18, 27, 36)), rng.randrange(41)) for _ in range(14)} | {(200 + k, rng.randrange(205)) for k in range(5)}
+    edges = sorted(e for e in edges if e[0] != e[1])
+    ids_ = sorted({x for e in edges for x in e})
+    for few in (ids_, rng.sample(ids_, 12)):
+        got = A.betweenness(plain(spark, edges), spark.createDataFrame([(i,) for i in few], "id long"))
+        want = _shares(edges, few)
+        assert {r.id: r.betweenness for r in got.collect()} == pytest.approx({i: want[i] for i in ids_})
+
+
 def test_reachability_does_not_broadcast_its_salted_members(spark):
     found = A.reachability(plain(spark, [(1, 2), (2, 1), (2, 3)]))
     assert {tuple(r) for r in found.collect()} == {(u, v) for u in (1, 2) for v in (1, 2, 3)}
