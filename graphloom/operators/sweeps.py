@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,6 +72,52 @@ def hop_sums(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return dealt(edges, sources).mapInArrow(sweep, "id long, far long, n long")
 
 
+def strong_parts(edges: DataFrame) -> DataFrame:
+    """``id, colour`` of all ends of ``edges``: the least id in the strong component, by Tarjan's search in one task."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [np.stack((b.column(0).to_numpy(), b.column(1).to_numpy())) for b in batches]
+        ids, both = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1), return_inverse=True)
+        src, dst = both.reshape(2, -1)
+        n = len(ids)
+        ends = array("q", np.cumsum(np.bincount(src, minlength=n)).tobytes())
+        at = array("q", [0, *ends[:-1]])
+        to = array("q", dst[np.argsort(src, kind="stable")].tobytes())
+        number, low, least = array("q", bytes(8 * n)), array("q", bytes(8 * n)), array("q", [-1]) * n
+        count, open_ids, way = 0, [], []
+        for start in range(n):
+            if number[start]:
+                continue
+            way.append(start)
+            while way:
+                v = way[-1]
+                if not number[v]:
+                    count += 1
+                    number[v] = low[v] = count
+                    open_ids.append(v)
+                if at[v] < ends[v]:
+                    w = to[at[v]]
+                    at[v] += 1
+                    if not number[w]:
+                        way.append(w)
+                    elif least[w] < 0 and number[w] < low[v]:
+                        low[v] = number[w]
+                    continue
+                way.pop()
+                if way and low[v] < low[way[-1]]:
+                    low[way[-1]] = low[v]
+                if low[v] == number[v]:
+                    part = []
+                    while not part or part[-1] != v:
+                        part.append(open_ids.pop())
+                    first = min(part)
+                    for w in part:
+                        least[w] = first
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[np.array(least, np.int64)])], names=["id", "colour"])
+
+    return edges.select("src", "dst").repartition(1).mapInArrow(search, "id long, colour long")
+
+
 def _trees(degree: np.ndarray, first: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``up, root, depth``: where a vertex with one edge out goes, where its way through such vertices ends, after how many steps.
 

@@ -286,3 +286,29 @@ def test_reachability_does_not_broadcast_its_salted_members(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     last = [line for line in plan.splitlines() if "salt" in line and "Join" in line]
     assert last and not any("Broadcast" in line for line in last)
+
+
+@pytest.mark.parametrize("most", [8_000_000, 20, 0])
+def test_strong_components_by_search_and_by_rounds(spark, monkeypatch, most):
+    rng = random.Random(8)
+    edges = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(60)} | {(50, 51), (51, 52), (52, 50), (52, 53), (60, 60)})
+    monkeypatch.setattr("graphloom.operators.sweeps.MOST_EDGES", most)
+    near = collections.defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+    reach = {}
+    for s in sorted({x for e in edges for x in e} | {99}):
+        todo = [s]
+        for v in todo:
+            todo += [w for w in near[v] if w not in todo]
+        reach[s] = set(todo)
+    want = {s: min(t for t in reach[s] if s in reach[t]) for s in reach}
+    assert {r.id: r.component for r in A.strongly_connected(plain(spark, edges, extra=[99])).collect()} == want
+
+
+def test_a_long_ring_takes_no_round_for_each_step(spark):
+    n, began = 300, time.monotonic()
+    ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"), F.lit("link").alias("label"))
+    found = A.reachability(PropertyGraph.of(spark.range(n), ring))
+    assert found.count() == n * n and found.distinct().count() == n * n
+    assert time.monotonic() - began < 60
